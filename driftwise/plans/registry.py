@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwise.plans import problems
+from driftwise.plans import audit, problems
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+QUERIES = {**problems.QUERIES, **audit.QUERIES}
+SQL = {**problems.SQL, **audit.SQL}
