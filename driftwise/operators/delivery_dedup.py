@@ -16,11 +16,13 @@ Skew: copies of one identifier are combined on the map side, in the buckets and
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.vectors import key
+
 #: Bits of a bitmap page, as the JVM's bitmap functions have them, and identifiers that a page is meant for.
 PAGE_BITS, PAGE_IDS = 32768, 2048
 
@@ -31,11 +33,11 @@ def page_count(buckets: DataFrame) -> Column:
     return F.greatest(F.lit(1), F.coalesce(counts.agg(F.max("n").alias("n")).scalar(), F.lit(0)) / PAGE_IDS).cast("bigint")
 
 
-def positions(key: Column, pages: Column) -> list[Column]:
+def positions(identifier: Column, pages: Column) -> list[Column]:
     """``page``, ``p1`` and ``p2``: where the identifier's bits are."""
-    h = F.xxhash64(key, F.lit(1))
+    h = F.xxhash64(identifier, F.lit(1))
     return [
-        F.pmod(F.xxhash64(key), pages).alias("page"),
+        F.pmod(F.xxhash64(identifier), pages).alias("page"),
         h.bitwiseAND(F.lit(PAGE_BITS - 1)).cast("int").alias("p1"),
         F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(PAGE_BITS - 1)).cast("int").alias("p2"),
     ]
@@ -55,25 +57,27 @@ def has_bit(bitmap: Column, position: Column) -> Column:
     return F.call_function("getbit", byte, position.bitwiseAND(F.lit(7))) == 1
 
 
-def deduplicate(rows: DataFrame, key: Column, bucket: Column, rank: Sequence[Column], keep: Sequence[Column]) -> DataFrame:
-    """The ``keep`` columns of one row for each ``key``: the one with the greatest ``rank`` (columns in order, null least).
+def deduplicate(rows: DataFrame, identifier: str, bucket: Column, rank: Sequence[Column], keep: Sequence[str], *, same: Callable[[Column], Column] = key) -> DataFrame:
+    """The ``keep`` columns of one row for each identifier: the one with the greatest ``rank`` (columns in order, null least).
 
-    Rows equal in rank and in what is kept are one. A null key identifies nothing: its rows are all kept. A null bucket is a
-    bucket. An empty table gives an empty one."""
+    Identifiers are compared by ``same`` (by default without regard to case), which gives a value for every value. Rows
+    equal in rank and in what is kept are one. A null identifies nothing: its rows are all kept. A null bucket is a bucket.
+    Other columns don't enter. An empty table gives an empty one."""
     names = [f"x{i}" for i in range(len(keep))]
-    plain = rows.select(bucket.alias("bucket"), key.alias("key"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"), F.struct(*[c.alias(n) for c, n in zip(keep, names, strict=True)]).alias("kept"))
-    schema = rows.select(*keep).columns
-    known = plain.where(F.col("key").isNotNull())
+    kept = F.struct(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).alias("kept")
+    known = rows.where(F.col(identifier).isNotNull()).select(bucket.alias("bucket"), same(F.col(identifier)).alias("key"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"), kept)
     pages = page_count(known.select("bucket"))
-    stored = known.groupBy("bucket", "key").agg(F.max(F.struct("rank", "kept")).alias("w"))
+    stored = known.groupBy("bucket", "key").agg(F.max(F.struct("rank", "kept", "key")).alias("w")).select("bucket", "w")
     bloom = filters(known.select("bucket", "key"), pages).select(F.col("bucket").alias("other"), F.col("page").alias("at"), "b1", "b2")
-    probed = stored.select("*", *positions(F.col("key"), pages)).join(
+    # both branches below take the same columns of the same outer join, so its inputs are shuffled once for the two
+    probed = stored.select("*", *positions(F.col("w.key"), pages)).join(
         bloom,
         (F.col("page") == F.col("at")) & ~F.col("bucket").eqNullSafe(F.col("other")) & has_bit(F.col("b1"), F.col("p1")) & has_bit(F.col("b2"), F.col("p2")),
         "left",
     )
-    new = probed.where(F.col("at").isNull()).select("w.kept")
+    possible = F.col("at").eqNullSafe(F.col("page"))
+    new = probed.where(~possible).select("w.kept")
     # a possible repeat comes once for each bucket that may hold it, which the maximum doesn't mind
-    verified = probed.where(F.col("at").isNotNull()).groupBy("key").agg(F.max("w").alias("w")).select("w.kept")
-    unnamed = plain.where(F.col("key").isNull()).select("kept")
-    return new.unionAll(verified).unionAll(unnamed).select(*[F.col(f"kept.{n}").alias(s) for n, s in zip(names, schema, strict=True)])
+    verified = probed.where(possible).groupBy(F.col("w.key").alias("key")).agg(F.max("w").alias("w")).select("w.kept")
+    unnamed = rows.where(F.col(identifier).isNull()).select(kept)
+    return new.unionAll(verified).unionAll(unnamed).select(*[F.col(f"kept.{n}").alias(c) for n, c in zip(names, keep, strict=True)])

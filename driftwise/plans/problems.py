@@ -65,7 +65,7 @@ def time_bucket(at: Column) -> Column:
 def kept_snapshots(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns of the latest row of each physical id; of equally late ones the first that was delivered."""
     rank = [F.col("last_modified"), -F.col("delivery_id")]
-    return deduplicate(rows, key(F.col("id")), time_bucket(F.col("received_at")), rank, [F.col(c) for c in keep])
+    return deduplicate(rows, "id", time_bucket(F.col("received_at")), rank, keep)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
