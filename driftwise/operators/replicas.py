@@ -84,18 +84,23 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     no row, nor have documents that no node holds.
 
     The winner is the replica whose vector is the element-wise maximum of all: where one vector dominates every other it is
-    that maximum, so no pair of replicas has to be compared. Database ids in ``ignored`` don't count."""
+    that maximum, so no pair of replicas has to be compared. Database ids in ``ignored`` don't count.
+
+    A row number that the filter at the end reads keeps the optimizer from computing the vectors a second time below it."""
     ignored = list(ignored)
+    differs = lambda f: F.size(F.array_distinct(F.transform("states", f))) > 1
+    # most documents are held everywhere in one spelling, hence consistent, which needs no vector to be read
+    suspects = aligned.where(F.exists("states", lambda s: s.present) & (F.exists("states", lambda s: ~s.present) | differs(lambda s: s.change_vector) | differs(lambda s: key(s.collection))))
     # normalised once a replica, in an array of its own: every later expression reads it
-    held = aligned.withColumn("p", F.transform(F.filter("states", lambda s: s.present), lambda s: F.struct(key(s.node_url).alias("u"), s.node_idx.alias("i"), s.node_url.alias("url"), s.collection.alias("c"), s.change_vector.alias("cv"), normalize(s.change_vector, ignored).alias("nv"))))
-    sized = held.where(F.size("p") > 0).select(
+    held = suspects.withColumn("p", F.transform(F.filter("states", lambda s: s.present), lambda s: F.struct(key(s.node_url).alias("u"), s.node_idx.alias("i"), s.node_url.alias("url"), s.collection.alias("c"), s.change_vector.alias("cv"), normalize(s.change_vector, ignored).alias("nv"))))
+    sized = held.select(
         "*",
         F.transform(F.filter("p", lambda s: ~blank(s.c)), lambda s: s.c).alias("named"),
         F.size(F.array_distinct(F.transform("p", lambda s: key(s.nv)))).alias("n_versions"),
         normalize(F.array_join(F.transform("p", lambda s: s.cv), ","), ignored).alias("top"),
     )
     winners = F.filter("p", lambda s: (F.col("n_versions") == 1) | (s.nv == F.col("top")))
-    judged = sized.select("*", F.array_min(winners).alias("w"), F.size(F.array_distinct(F.transform("named", key))).alias("n_collections"), (F.size("p") < F.size("states")).alias("missing"))
+    judged = sized.select("*", F.array_min(winners).alias("w"), F.size(F.array_distinct(F.transform("named", key))).alias("n_collections"), (F.size("p") < F.size("states")).alias("missing"), F.monotonically_increasing_id().alias("_row"))
     kind = (
         F.when(F.col("n_collections") > 1, "COLLECTION_MISMATCH")
         .when(~F.col("missing") & (F.col("n_versions") == 1), F.lit(None))
@@ -107,8 +112,8 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     affected = F.transform(F.filter(urls, lambda x: F.col("w").isNull() | (x.u != F.col("w.u"))), lambda x: x.url)
     return judged.select(
         "document_key", "document_id", F.when(F.col("n_collections") == 1, F.get("named", F.lit(0))).otherwise(F.get("p", F.lit(0)).c).alias("collection"), kind.alias("mismatch_type"),
-        F.col("w.url").alias("winner_node"), F.col("w.cv").alias("winner_cv"), F.array_join(affected, ",").alias("affected_nodes"), "states",
-    ).where(F.col("mismatch_type").isNotNull())
+        F.col("w.url").alias("winner_node"), F.col("w.cv").alias("winner_cv"), F.array_join(affected, ",").alias("affected_nodes"), "states", "_row",
+    ).where(F.col("mismatch_type").isNotNull() & (F.col("_row") >= 0)).drop("_row")
 
 
 def alignment_rows(aligned: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwise.functions.scalars import backoff_seconds, csv_field, duration_text, iso_text, parse_iso, touch_statement
@@ -10,9 +13,10 @@ from driftwise.functions.vectors import blank, key, normalize, parse_long
 from driftwise.operators import planning, replicas, views
 from driftwise.plans.sqltext import blank as sql_blank
 from driftwise.plans.sqltext import cv_norm, cv_segments, present
-from driftwise.session import shared_folder
+from driftwise.session import cut, scratch
 from driftwise.sources.pages import first_seen, is_live_document
 from driftwise.sources.tables import table
+from driftwise.streaming.feeds import live_versions, read_feed, run_to_end
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -215,7 +219,9 @@ def repair_groups(spark, folder):
 
 @query(EVALUATED + f" SELECT document_key, winner_node, CAST(floor((row_number() OVER (PARTITION BY winner_node ORDER BY document_key) - 1) / {CHUNK}) AS BIGINT) AS chunk FROM decided WHERE decision = 'PatchPlannedDryRun'")
 def repair_chunks(spark, folder):
-    return planning.chunks(_planned(spark, folder).select("document_key", "winner_node"), ["winner_node"], "document_key", CHUNK)
+    # read three times below, and evaluated once
+    planned = cut(_planned(spark, folder).select("document_key", "winner_node"))
+    return planning.chunks(planned, ["winner_node"], "document_key", CHUNK)
 
 
 GROUP_ID = "sha256(concat_ws(chr(10), coalesce('+' || winner_node, '-'), coalesce('+' || collection, '-'), coalesce('+' || winner_cv, '-')))"
@@ -397,8 +403,6 @@ def duration_format(spark, folder):
 
 @query("SELECT run_id, n AS failures, least(30 * pow(2.0, n - 1), 60.0) AS wait_seconds FROM (SELECT run_id, row_number() OVER (ORDER BY run_id) AS n FROM runs)")
 def backoff_schedule(spark, folder):
-    from pyspark.sql import Window as W
-
     # runs is a table of a handful of rows
     numbered = table(spark, folder, "runs").select("run_id", F.row_number().over(W.orderBy("run_id")).cast("bigint").alias("failures"))
     return numbered.withColumn("wait_seconds", backoff_seconds(F.col("failures")))
@@ -452,14 +456,8 @@ def feed_timestamps(spark, folder):
 @query(f"SELECT DISTINCT node_url, upper(id) AS document_key, upper(sha256(upper(id) || chr(10) || {cv_norm('change_vector')})) AS version FROM iteration_items WHERE {LIVE} AND {present('id')}")
 def stream_live_scan(spark, folder):
     """The feed read as a stream to its end, exactly once for each version."""
-    from driftwise.session import scratch
-    from driftwise.streaming.feeds import live_versions, read_feed, run_to_end
-
-    shared_folder(spark)
     whole = table(spark, folder, "iteration_items")
     path, at = scratch(spark, "live-versions"), scratch(spark, "live-cursor")
-    import os
-
     source = f"{folder}/iteration_items.parquet"
     single = os.path.isfile(source)  # a stream reads folders: a single file is matched by a pattern
     run_to_end(live_versions(read_feed(spark, f"{folder}/iteration_item[s].parquet" if single else source, whole.schema)).select("node_url", "document_key", "version"), path, at)
