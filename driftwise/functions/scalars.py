@@ -34,9 +34,11 @@ def iso_text(at: Column) -> Column:
 
 
 def parse_iso(text: Column) -> Column:
-    """The timestamp, taken as UTC, that :func:`iso_text` writes; unreadable text is null."""
-    trimmed = F.regexp_replace(F.trim(text), r"(\.\d{6})\d*", "$1")
-    return F.regexp_replace(trimmed, "Z$", "").try_cast("timestamp_ntz")
+    """The UTC timestamp of an ISO text: as :func:`iso_text` writes it, with an offset, or with neither, which is taken as
+    UTC. Digits after the microsecond don't count; unreadable text is null."""
+    short = F.regexp_replace(F.trim(text), r"(\.\d{6})\d*", "$1")
+    shifted = F.convert_timezone(F.current_timezone(), F.lit("UTC"), short.try_cast("timestamp").cast("timestamp_ntz"))
+    return F.when(short.rlike(r"[+-]\d\d:\d\d$"), shifted).otherwise(F.regexp_replace(short, "Z$", "").try_cast("timestamp_ntz"))
 
 
 def touch_statement(collection: Column, ids_parameter: str = "$ids") -> Column:

@@ -36,9 +36,9 @@ def has_unsafe_characters(document_id: Column) -> Column:
 
 
 def unsafe_reason(document_id: Column) -> Column:
-    """What makes an id unsafe, or 'None'."""
+    """What makes an id unsafe, or 'None'; null for a null id."""
     reasons = F.concat_ws(",", F.when(F.contains(document_id, F.lit("\\")), F.lit("ContainsBackslash")), F.when(document_id.rlike(r"[\x00-\x1f]"), F.lit("ContainsControlCharacter")))
-    return F.when(reasons == "", "None").otherwise(reasons)
+    return F.when(document_id.isNull(), F.lit(None)).when(reasons == "", "None").otherwise(reasons)
 
 
 def physical_id(document_id: Column, alias: Column) -> Column:

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.scalars import iso_text
 from driftwise.operators.replicas import has_unsafe_characters, unsafe_reason
 
 
 def write_cache(rows: DataFrame, path: str, rows_a_segment: int = 8192) -> None:
     """Rows ``id, cv, c, lm`` as gzip segments of JSON lines, each of at most so many rows."""
-    rows.select("id", "cv", "c", "lm").write.mode("overwrite").option("maxRecordsPerFile", rows_a_segment).json(path, compression="gzip")
+    rows.select("id", "cv", "c", iso_text(F.col("lm")).alias("lm")).write.mode("overwrite").option("maxRecordsPerFile", rows_a_segment).json(path, compression="gzip")
 
 
 def manifest(cache: DataFrame) -> DataFrame:

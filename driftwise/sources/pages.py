@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwise.functions.scalars import parse_iso
 from driftwise.functions.vectors import blank, key, parse_long, strip
 
 ITEM = "Id string, Etag string, Type string, Flags string, ChangeVector string, Collection string, LastModified string"
-CACHE_ROW = "id string, cv string, c string, lm timestamp_ntz"
+CACHE_ROW = "id string, cv string, c string, lm string"
 
 
 def parse_pages(pages: DataFrame, body: Column) -> DataFrame:
@@ -38,8 +39,9 @@ def first_seen(items: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a segment cache, with the segment they are of."""
-    return spark.read.schema(CACHE_ROW).json(path).withColumn("segment", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+    """Rows of a segment cache, with the segment they are of; ``lm`` as a UTC timestamp."""
+    rows = spark.read.schema(CACHE_ROW).json(path)
+    return rows.withColumn("lm", parse_iso(F.col("lm"))).withColumn("segment", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
 
 
 def keyset_page(rows: DataFrame, after: str | None, size: int) -> DataFrame:
