@@ -10,10 +10,11 @@ on the map side; both sides of the anti-join have each key once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def current_state(puts: DataFrame, deletes: DataFrame, keys: Sequence[str], sequence: str, payload: Sequence[str] = ()) -> DataFrame:
@@ -38,35 +39,36 @@ def current_state(puts: DataFrame, deletes: DataFrame, keys: Sequence[str], sequ
 
 
 class EqualityDeleteTable:
-    """A table in the shared folder that takes appends of puts and deletes, and is read by :func:`current_state`.
+    """A table in the shared folder to which puts and deletes are appended, and which :func:`current_state` reads.
 
-    Each append writes one folder of puts and one of deletes, named by the append; writing the same append again replaces
-    it, so a repeated or restarted batch does no harm. ``compact`` writes the current state as one folder of puts and keeps
-    the last delete of each key, which late entries may still have to meet."""
+    An append writes the files of a batch, puts and deletes apart; nothing that was written before is touched. Writing a
+    batch of the same name again replaces it, so a repeated or restarted batch does no harm. ``compact`` writes the current
+    state as one batch and keeps the last delete of each key, which late entries may still have to meet."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], sequence: str, payload: Sequence[str] = ()) -> None:
-        self.spark, self.path, self.keys, self.sequence, self.payload = spark, path, list(keys), sequence, list(payload)
+    def __init__(self, spark: SparkSession, path: str, keys: str, sequence: str, payload: str = "") -> None:
+        """``keys`` and ``payload``: columns with types, as in DDL; ``sequence``: a bigint column."""
+        self.spark, self.path, self.sequence = spark, path, sequence
+        columns = [x for x in (keys, f"{sequence} bigint", payload) if x]
+        self.schema = T.StructType.fromDDL(", ".join(columns))
+        self.keys = T.StructType.fromDDL(keys).fieldNames()
+        self.payload = T.StructType.fromDDL(payload).fieldNames() if payload else []
 
-    def append(self, name: str, puts: DataFrame, deletes: DataFrame) -> None:
-        columns = [*self.keys, self.sequence]
-        puts.select(*columns, *self.payload).write.mode("overwrite").parquet(f"{self.path}/puts/batch={name}")
-        deletes.select(*columns).write.mode("overwrite").parquet(f"{self.path}/deletes/batch={name}")
+    def append(self, batch: str, entries: DataFrame) -> None:
+        """``entries``: the table's columns and ``kind``, put or delete. Other kinds are left out."""
+        known = entries.where(F.col("kind").isin("put", "delete")).select("kind", *self.schema.fieldNames())
+        known.write.mode("overwrite").partitionBy("kind").parquet(f"{self.path}/batch={batch}")
 
     def entries(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{kind}").drop("batch")
+        whole = T.StructType([*self.schema, T.StructField("batch", T.StringType()), T.StructField("kind", T.StringType())])
+        return self.spark.read.schema(whole).parquet(self.path).where(F.col("kind") == kind).drop("batch", "kind")
 
     def read(self) -> DataFrame:
-        return current_state(self.entries("puts"), self.entries("deletes"), self.keys, self.sequence, self.payload)
+        return current_state(self.entries("put"), self.entries("delete"), self.keys, self.sequence, self.payload)
 
     def compact(self, path: str) -> EqualityDeleteTable:
         """The table with the same state and fewer rows, at another path."""
-        table = EqualityDeleteTable(self.spark, path, self.keys, self.sequence, self.payload)
-        last = self.entries("deletes").groupBy(*self.keys).agg(F.max(self.sequence).alias(self.sequence))
-        table.append("compacted", self.read(), last)
+        table = EqualityDeleteTable.__new__(EqualityDeleteTable)
+        table.__dict__.update(self.__dict__ | {"path": path})
+        last = self.entries("delete").groupBy(*self.keys).agg(F.max(self.sequence).alias(self.sequence)).withColumn("kind", F.lit("delete"))
+        table.append("compacted", self.read().withColumn("kind", F.lit("put")).unionByName(last, allowMissingColumns=True))
         return table
-
-
-def feed_effects(items: DataFrame, effect: Column, fields: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """Puts and deletes of a feed, as two relations of ``fields``; ``effect`` is 'put', 'delete' or anything else."""
-    tagged = items.select(effect.alias("_effect"), *[c.alias(n) for n, c in fields.items()])
-    return tuple(tagged.where(F.col("_effect") == kind).drop("_effect") for kind in ("put", "delete"))

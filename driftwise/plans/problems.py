@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.functions.vectors import blank, key, normalize, parse_long, strip
-from driftwise.operators.change_feed import current_state, feed_effects
+from driftwise.operators.change_feed import EqualityDeleteTable
 from driftwise.operators.copy_diff import diff_copies
 from driftwise.operators.delivery_dedup import deduplicate
 from driftwise.operators.eager_aggregate import aggregate_join, heavy_groups
 from driftwise.operators.snapshot_changes import snapshot_changes, validity_intervals
 from driftwise.plans.sqltext import cv_norm, present
+from driftwise.session import cut, scratch
 from driftwise.sources.tables import table
 
 #: A repair group is heavy if it holds one in so many rows.
@@ -34,8 +35,9 @@ def repair_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    total = _grouped_mismatches(spark, folder).agg(F.count(F.lit(1)).alias("n"))
-    return heavy_groups(repair_groups(spark, folder), total, HEAVY_ONE_IN).select("collection", "winner_node")
+    # one row a group, read twice: for the total and for the share of it
+    groups = cut(repair_groups(spark, folder))
+    return heavy_groups(groups, groups.agg(F.sum("n_rows")), HEAVY_ONE_IN).select("collection", "winner_node")
 
 
 def p1_repair_groups(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,16 +152,22 @@ def feed_effect(item_type: Column, flags: Column) -> Column:
     return F.when(document & ~has("Conflicted") & ~has("DeleteRevision"), "put").when((document & ~has("Conflicted")) | (kind == "TOMBSTONE"), "delete")
 
 
-def feed_relations(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Puts and deletes of a page feed. Items without id, vector, type or readable etag have no effect."""
+def feed_entries(items: DataFrame) -> DataFrame:
+    """The puts and deletes of a page feed, for an equality-delete table: ``kind``, node_url, document_key and etag. Items
+    without id, vector, type or readable etag have no effect, nor have items of other types."""
     usable = items.where(~blank(F.col("id")) & ~blank(F.col("change_vector")) & ~blank(F.col("item_type")))
-    fields = {"node_url": F.col("node_url"), "document_key": key(F.col("id")), "etag": parse_long(F.col("etag"))}
-    return feed_effects(usable, feed_effect(F.col("item_type"), F.col("flags")), fields)
+    entries = usable.select(feed_effect(F.col("item_type"), F.col("flags")).alias("kind"), "node_url", key(F.col("id")).alias("document_key"), parse_long(F.col("etag")).alias("etag"))
+    return entries.where(F.col("kind").isNotNull() & F.col("etag").isNotNull())
+
+
+def feed_table(spark: SparkSession, path: str) -> EqualityDeleteTable:
+    return EqualityDeleteTable(spark, path, "node_url string, document_key string", "etag")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    puts, deletes = feed_relations(table(spark, folder, "iteration_items"))
-    return current_state(puts, deletes, ["node_url", "document_key"], "etag")
+    state = feed_table(spark, scratch(spark, "feed"))
+    state.append("all", feed_entries(table(spark, folder, "iteration_items")))
+    return state.read()
 
 
 P3_FOUND_SQL = rf"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from driftwise.functions.vectors import blank, key, normalize
 from driftwise.operators.change_feed import EqualityDeleteTable
@@ -29,12 +30,12 @@ def live_versions(items: DataFrame, at: str | None = None, late: str = "7 days")
     return keyed.dropDuplicates(names) if at is None else keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(names)
 
 
-def append_feed(items: DataFrame, target: EqualityDeleteTable, relations: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str):
-    """Starts a query that appends each batch of the stream to ``target`` and ends when the input is read. A batch that is run
-    again after a failure replaces itself, so each takes effect once."""
+def append_feed(items: DataFrame, target: EqualityDeleteTable, entries: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+    """Starts a query that appends the ``entries`` of each batch of the stream to ``target`` and ends when the input is read. A
+    batch that is run again after a failure replaces itself, so each takes effect once."""
 
     def write(batch: DataFrame, number: int) -> None:
-        target.append(f"{number:08d}", *relations(batch))
+        target.append(f"{number:08d}", entries(batch))
 
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -7,7 +7,6 @@ import json
 from pyspark.sql import functions as F
 
 from driftwise.functions import scalars
-from driftwise.operators.change_feed import EqualityDeleteTable
 from driftwise.plans import problems
 from driftwise.plans.audit import QUERIES
 from driftwise.session import cut, scratch, shared_folder, small
@@ -94,11 +93,11 @@ def test_stream_gives_each_version_once_over_batches(spark, folder, tmp_path):
 
 def test_stream_of_changes_ends_in_the_state_of_the_whole_feed(spark, folder, tmp_path):
     items = feed_files(spark, folder, f"{tmp_path}/feed")
-    target = EqualityDeleteTable(spark, scratch(spark, "state"), ["node_url", "document_key"], "etag")
-    append_feed(read_feed(spark, f"{tmp_path}/feed", items.schema), target, problems.feed_relations, f"{tmp_path}/at").awaitTermination()
+    target = problems.feed_table(spark, scratch(spark, "state"))
+    append_feed(read_feed(spark, f"{tmp_path}/feed", items.schema), target, problems.feed_entries, f"{tmp_path}/at").awaitTermination()
     assert rows(target.read()) == rows(problems.p3_found(spark, folder))
     # what is appended again changes nothing
-    target.append("again", *problems.feed_relations(items))
+    target.append("again", problems.feed_entries(items))
     assert rows(target.read()) == rows(problems.p3_found(spark, folder))
 
 

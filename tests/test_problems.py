@@ -146,18 +146,18 @@ def test_current_state_is_what_applying_in_order_gives(spark):
 
 
 def test_equality_delete_table_takes_batches_in_any_order(spark):
-    entries = [("a", 5, True, "x"), ("a", 7, False, ""), ("a", 9, True, "y"), ("b", 3, True, "z"), ("b", 4, False, ""), ("c", 1, True, "w")]
-    df = spark.createDataFrame(entries, "k string, seq long, put boolean, v string")
-    table = EqualityDeleteTable(spark, scratch(spark, "t"), ["k"], "seq", ["v"])
+    entries = [("a", 5, "put", "x"), ("a", 7, "delete", None), ("a", 9, "put", "y"), ("b", 3, "put", "z"), ("b", 4, "delete", None), ("c", 1, "put", "w"), ("c", 8, "other", "")]
+    df = spark.createDataFrame(entries, "k string, seq long, kind string, v string")
+    table = EqualityDeleteTable(spark, scratch(spark, "t"), "k string", "seq", "v string")
     for name in ["2", "0", "1", "1"]:
-        part = df.where(F.col("seq") % 3 == int(name))
-        table.append(name, part.where("put"), part.where("not put"))
+        table.append(name, df.where(F.col("seq") % 3 == int(name)))
+    table.append("none", df.limit(0))
     want = [("a", 9, "y"), ("c", 1, "w")]
     assert rows(table.read()) == want
     small = table.compact(scratch(spark, "t"))
-    assert rows(small.read()) == want and small.entries("puts").count() == 2
+    assert rows(small.read()) == want and small.entries("put").count() == 2
     # a put that arrives after the compaction and is older than the delete stays without effect
-    small.append("late", spark.createDataFrame([("b", 2, "old")], "k string, seq long, v string"), df.limit(0))
+    small.append("late", spark.createDataFrame([("b", 2, "put", "old")], "k string, seq long, kind string, v string"))
     assert rows(small.read()) == want
 
 
