@@ -13,6 +13,7 @@ from driftwise.session import cut, scratch, shared_folder, small
 from driftwise.sinks.files import manifest, quarantine, upsert, write_cache, write_csv
 from driftwise.sources.pages import first_seen, is_live_document, keyset_page, parse_pages, read_cache
 from driftwise.sources.tables import table
+from driftwise.streaming.deliveries import DeliveryStore
 from driftwise.streaming.feeds import append_feed, live_versions, read_feed
 
 
@@ -114,3 +115,22 @@ def test_session_helpers(spark):
 
 def test_streamed_query_is_repeatable(spark, folder):
     assert rows(QUERIES["stream_live_scan"](spark, folder)) == rows(QUERIES["stream_live_scan"](spark, folder))
+
+
+def test_delivery_store_accepts_each_identifier_once(spark, tmp_path):
+    t = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
+    batches = [
+        [(1, "a", t(1)), (2, "b", t(1)), (3, "A", t(2)), (4, None, t(1)), (5, "c", None)],
+        [(6, "b", t(30)), (7, "d", t(30)), (8, "C", t(31)), (9, None, t(30))],
+        [(10, "a", t(70)), (11, "e", t(70)), (12, "D", t(71))],
+    ]
+    frames = [spark.createDataFrame(b, "n long, id string, at timestamp_ntz") for b in batches]
+    store = DeliveryStore(spark, f"{tmp_path}/store", frames[0].schema, "id", lambda: problems.time_bucket(F.col("at")), ["n"], pages=4)
+    for i, df in enumerate(frames):
+        store.accept(str(i), df)
+    want = [1, 2, 4, 5, 7, 9, 11]
+    assert sorted(r["n"] for r in store.rows().collect()) == want
+    store.accept("1", frames[1])  # again, as after a failure
+    store.accept("3", frames[0].where("id is not null"))
+    store.accept("4", frames[0].limit(0))
+    assert sorted(r["n"] for r in store.rows().collect()) == want
