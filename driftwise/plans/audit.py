@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwise.functions.scalars import backoff_seconds, csv_field, duration_text, iso_text, parse_iso, touch_statement
-from driftwise.functions.vectors import blank, key, normalize, parse_long
+from driftwise.functions.vectors import blank, key, normalize, parse_long, strip
 from driftwise.operators import planning, replicas, views
 from driftwise.plans.sqltext import blank as sql_blank
 from driftwise.plans.sqltext import cv_norm, cv_segments, present
@@ -464,6 +464,103 @@ def stream_live_scan(spark, folder):
     return spark.read.parquet(path)
 
 
+# more of plans, runs and feeds
+
+
+@query(EVALUATED + r" SELECT document_key, mismatch_type FROM found WHERE document_key NOT IN (SELECT upper(original_document_id) FROM node_document_snapshots WHERE regexp_matches(original_document_id, '[\\\x00-\x1f]'))")
+def exclude_skipped(spark, folder):
+    """Mismatches of documents that no import had to skip for their id."""
+    rows = _rows(spark, folder)
+    skipped = rows.where(replicas.has_unsafe_characters(F.col("original_document_id")))
+    return planning.without(_evaluated(spark, folder).select("document_key", "mismatch_type"), F.col("document_key"), skipped, key(F.col("original_document_id")))
+
+
+@query(
+    LATEST
+    + """, c AS (SELECT upper(original_document_id) AS document_key, count(*) AS n_rows FROM l GROUP BY 1 HAVING count(*) < 3 OR count(DISTINCT upper(coalesce(change_vector, ''))) > 1)
+SELECT document_key, n_rows FROM c ORDER BY document_key LIMIT 100 OFFSET 100"""
+)
+def candidate_page(spark, folder):
+    """The second page of candidates by document; the limit is the feature."""
+    return problem_candidates(spark, folder).select("document_key", "n_rows").orderBy("document_key").offset(100).limit(100)
+
+
+@query(ALIGNED + " SELECT document_key, min(node_idx) FILTER (present) AS first_node, count(*) FILTER (present) AS n_nodes FROM grid GROUP BY 1")
+def coverage_union(spark, folder):
+    """What passes over one node after the other see: each document at the first node that has it, and how many have it."""
+    held = F.filter("states", lambda s: s.present)
+    return _aligned(spark, folder).select("document_key", F.array_min(F.transform(held, lambda s: s.node_idx)).alias("first_node"), F.size(held).alias("n_nodes"))
+
+
+DONE = f"""done AS (SELECT upper(document_id) AS k, {EFFECTIVE} AS outcome FROM mismatches WHERE {present("current_repair_decision")} AND document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY upper(document_id) ORDER BY last_repair_updated_at DESC NULLS LAST, detected_at DESC NULLS LAST, current_repair_decision DESC) = 1)"""
+
+
+@query(f"WITH {DONE} SELECT m.id, m.run_id, CASE WHEN {sql_blank('m.current_repair_decision')} THEN coalesce(d.outcome, m.repair_decision) ELSE m.current_repair_decision END AS decision FROM mismatches m LEFT JOIN done d ON upper(m.document_id) = d.k")
+def decision_writeback(spark, folder):
+    """Each mismatch with the last outcome of its document where it has none of its own."""
+    rows = _mismatches(spark, folder)
+    done = rows.where(~blank(F.col("current_repair_decision")) & F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("k")).agg(F.max(F.struct("last_repair_updated_at", "detected_at", "current_repair_decision")).alias("w"))
+    joined = rows.withColumn("_key", key(F.col("document_id"))).join(done, F.col("_key") == F.col("k"), "left")
+    own = F.when(blank(F.col("current_repair_decision")), F.coalesce("w.current_repair_decision", "repair_decision")).otherwise(F.col("current_repair_decision"))
+    return joined.select("id", "run_id", own.alias("decision"))
+
+
+@query(
+    ALIGNED
+    + f""", lastm AS (SELECT upper(document_id) AS document_key, observed_state FROM mismatches WHERE document_id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY upper(document_id) ORDER BY detected_at DESC NULLS LAST, run_id DESC, id DESC) = 1),
+o AS (SELECT document_key, unnest(observed_state) AS s FROM (SELECT document_key, observed_state FROM lastm)),
+seen AS (SELECT document_key, upper(s.node_url) AS u, bool_or(coalesce(s.present, false)) AS present, max(CASE WHEN s.present THEN upper(coalesce(s.collection, '')) END) AS c,
+  max(CASE WHEN s.present THEN {cv_norm("s.change_vector")} END) AS nv FROM o GROUP BY 1, 2),
+now AS (SELECT document_key, upper(node_url) AS u, present, CASE WHEN present THEN upper(coalesce(c, '')) END AS c, CASE WHEN present THEN {cv_norm("cv")} END AS nv FROM grid)
+SELECT l.document_key, bool_and(coalesce(s.present, false) = coalesce(w.present, false) AND s.c IS NOT DISTINCT FROM w.c AND s.nv IS NOT DISTINCT FROM w.nv) AS unchanged
+FROM lastm l CROSS JOIN nodes n LEFT JOIN seen s ON s.document_key = l.document_key AND s.u = upper(n.node_url) LEFT JOIN now w ON w.document_key = l.document_key AND w.u = upper(n.node_url) GROUP BY 1"""
+)
+def observed_state_match(spark, folder):
+    """Whether what was observed with the last mismatch of each document is still so on every configured node: presence,
+    collection (ignoring case) and normalised vector."""
+    nodes = _nodes(spark, folder)
+    last = _mismatches(spark, folder).where(F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("document_key")).agg(F.max(F.struct("detected_at", "run_id", "id", "observed_state")).alias("w")).select("document_key", F.col("w.observed_state").alias("o"))
+    now = _aligned(spark, folder).select(F.col("document_key").alias("k"), "states")
+    both = last.join(now, F.col("document_key") == F.col("k"), "left")
+    state = lambda s: F.when(s.present, F.concat_ws("|", key(F.coalesce(s.collection, F.lit(""))), normalize(s.change_vector)))
+    of = lambda c, n: F.get(F.transform(F.filter(c, lambda s: key(s.node_url) == n.url.upper()), state), F.lit(0))
+    same = F.lit(True)
+    for n in nodes:
+        same = same & of("o", n).eqNullSafe(of("states", n))
+    return both.select("document_key", same.alias("unchanged"))
+
+
+@query("""WITH b AS (SELECT from_node, batch_no, count(*) AS n_rows, epoch(max(received_at)) - epoch(min(received_at)) AS seconds FROM node_document_snapshots GROUP BY 1, 2)
+SELECT from_node, batch_no, n_rows, n_rows - lag(n_rows) OVER (PARTITION BY from_node ORDER BY batch_no) AS change, round(n_rows / nullif(seconds, 0), 3) AS rows_a_second FROM b""")
+def delivery_rates(spark, folder):
+    """Rows of each node and delivery round, against the round before."""
+    at = F.unix_micros(F.col("received_at").cast("timestamp"))
+    rounds = _rows(spark, folder).groupBy("from_node", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"), ((F.max(at) - F.min(at)) / 1e6).alias("seconds"))
+    change = F.col("n_rows") - F.lag("n_rows").over(W.partitionBy("from_node").orderBy("batch_no"))
+    return rounds.select("from_node", "batch_no", "n_rows", change.alias("change"), F.round(F.col("n_rows") / F.nullif(F.col("seconds"), F.lit(0.0)), 3).alias("rows_a_second"))
+
+
+@query(f"""SELECT node_url, page_no, count(*) AS n_items, count(*) FILTER ({LIVE}) AS n_live, count(*) FILTER (coalesce(upper(trim(item_type)) <> 'DOCUMENT', true)) AS n_other_types,
+  count(*) FILTER (list_contains({FLAGS}, 'CONFLICTED')) AS n_conflicted, count(*) FILTER ({ETAG} IS NULL) AS n_unreadable, min({ETAG}) AS first_etag, max({ETAG}) AS last_etag,
+  count(*) - count(DISTINCT coalesce(upper(id), '')) AS n_repeated FROM iteration_items GROUP BY 1, 2""")
+def page_diagnostics(spark, folder):
+    """What was read and skipped on each page of the feeds."""
+    kind, flags = F.col("item_type"), F.col("flags")
+    conflicted = F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == "CONFLICTED"), F.lit(False))
+    return _items(spark, folder).groupBy("node_url", "page_no").agg(
+        F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(kind, flags)).alias("n_live"), F.count_if(F.coalesce(key(strip(kind)) != "DOCUMENT", F.lit(True))).alias("n_other_types"), F.count_if(conflicted).alias("n_conflicted"),
+        F.count_if(F.col("etag").isNull()).alias("n_unreadable"), F.min("etag").alias("first_etag"), F.max("etag").alias("last_etag"), (F.count(F.lit(1)) - F.countDistinct(F.coalesce(key(F.col("id")), F.lit("")))).alias("n_repeated"),
+    )
+
+
+@query("SELECT run_id, run_mode, is_complete, coalesce(last_saved_at, started_at) AS heard_at FROM runs ORDER BY heard_at DESC, started_at DESC, run_id DESC LIMIT 10")
+def recent_runs(spark, folder):
+    """The ten runs heard of last; the limit is the feature."""
+    return table(spark, folder, "runs").orderBy(views.recency().desc(), F.col("started_at").desc(), F.col("run_id").desc()).limit(10).select("run_id", "run_mode", "is_complete", views.recency().alias("heard_at"))
+
+
 # the projection of orders onto three replicas (FIXTURES.md), whose outcome is known in advance
 
 PROJECTED_NODES = [replicas.Node(i, a, f"Node {a}", f"http://node-{a.lower()}") for i, a in enumerate("ABC")]
