@@ -64,20 +64,26 @@ def time_bucket(at: Column) -> Column:
     return F.datediff(F.to_date(at), F.lit("1970-01-01")) * (24 // BUCKET_HOURS) + F.floor(F.hour(at) / BUCKET_HOURS).cast("int")
 
 
-def kept_snapshots(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns of the latest row of each physical id; of equally late ones the first that was delivered."""
+def kept_deliveries(rows: DataFrame) -> DataFrame:
+    """``delivery_id`` of the latest row of each physical id; of equally late ones of the first that was delivered."""
     rank = [F.col("last_modified"), -F.col("delivery_id")]
-    return deduplicate(rows, "id", time_bucket(F.col("received_at")), rank, keep)
+    return deduplicate(rows, "id", time_bucket(F.col("received_at")), rank, ["delivery_id"])
+
+
+def kept_snapshots(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted``, a part of ``rows``, that are kept. Deduplication moves ids and times only; the other columns are
+    moved once, by the unique delivery_id, of the rows that are wanted."""
+    return wanted.join(kept_deliveries(rows), "delivery_id", "left_semi")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "node_document_snapshots")
-    return rows.select("delivery_id").join(kept_snapshots(rows, ["delivery_id"]), "delivery_id", "left_anti")
+    return rows.select("delivery_id").join(kept_deliveries(rows), "delivery_id", "left_anti")
 
 
 def p4_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "node_document_snapshots")
-    return kept_snapshots(rows, ["delivery_id", "batch_no", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified"])
+    return kept_snapshots(rows, rows).select("delivery_id", "batch_no", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified")
 
 
 P4_RANKED = "SELECT *, row_number() OVER (PARTITION BY upper(id) ORDER BY last_modified DESC NULLS LAST, delivery_id) AS rn FROM node_document_snapshots"
@@ -91,8 +97,7 @@ P4_KEPT_SQL = f"SELECT delivery_id, batch_no, id, original_document_id, from_nod
 def replica_differences(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes A (left) and B (right) compared by document key; see :func:`diff_copies`."""
     rows = table(spark, folder, "node_document_snapshots")
-    kept = kept_snapshots(rows, ["original_document_id", "from_node", "change_vector", "collection", "last_modified"])
-    held = kept.where(F.col("from_node").isin("A", "B")).select(
+    held = kept_snapshots(rows, rows.where(F.col("from_node").isin("A", "B"))).select(
         key(F.col("original_document_id")).alias("document_key"),
         "from_node",
         normalize(F.col("change_vector")).alias("change_vector"),
