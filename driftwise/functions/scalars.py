@@ -45,3 +45,28 @@ def touch_statement(collection: Column, ids_parameter: str = "$ids") -> Column:
     """A statement that rewrites the documents of a collection unchanged; null for a blank collection."""
     escaped = F.replace(collection, F.lit('"'), F.lit('""'))
     return F.when(collection.isNotNull() & (F.trim(collection) != ""), F.concat(F.lit('from "'), escaped, F.lit(f'" where id() in ({ids_parameter}) update {{ put(id(this), this); }}')))
+
+
+def base_url(url: Column) -> Column:
+    """A URL without slashes at its end."""
+    return F.rtrim(url, F.lit("/"))
+
+
+def file_name(text: Column) -> Column:
+    """Text with every character that file names shouldn't have replaced by an underscore."""
+    return F.regexp_replace(text, r'[<>:"/\\|?*\x00-\x1f]', "_")
+
+
+def numbered(prefix: str, number: Column, digits: int, suffix: str = "") -> Column:
+    """A name with a zero-padded number, as of segments (6 digits) and result files (3)."""
+    return F.format_string(f"{prefix}%0{digits}d{suffix}", number)
+
+
+def thousands(number: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(number, 0)
+
+
+def run_id(started: Column) -> Column:
+    """The id of a run by its UTC start, with seven fractional digits; ids sort as their starts do."""
+    return F.concat(F.lit("runs/"), F.date_format(started, "yyyyMMdd-HHmmssSSSSSS"), F.lit("0"))

@@ -73,6 +73,8 @@ def test_scalars(spark):
     assert [r[0] for r in when.select(scalars.parse_iso(scalars.iso_text(F.col("a")))).collect()] == [t, None]
     iso = spark.createDataFrame([("2026-01-01T02:00:00+02:00",), ("2026-01-01T00:00:00.0000000Z",), ("2026-01-01 00:00:00",), ("yesterday",)], "t string")
     assert [r[0] for r in iso.select(scalars.parse_iso(F.col("t"))).collect()] == [t, t, t, None]
+    made = spark.createDataFrame([("http://n//", 7, t)], "u string, n int, t timestamp_ntz").select(scalars.base_url(F.col("u")), scalars.file_name(F.col("u")), scalars.numbered("seg-", F.col("n"), 6, ".gz"), scalars.thousands(F.col("n") * 1000), scalars.run_id(F.col("t")))
+    assert tuple(made.first()) == ("http://n", "http___n__", "seg-000007.gz", "7,000", "runs/20260101-0000000000000")
     text = spark.createDataFrame([("plain",), ('a"b',), (None,), ("",), ("  ",)], "t string")
     assert [r[0] for r in text.select(scalars.csv_field(F.col("t"))).collect()] == ["plain", '"a""b"', "", "", "  "]
     assert [r[0] for r in text.select(scalars.touch_statement(F.col("t"))).collect()][1:] == ['from "a""b" where id() in ($ids) update { put(id(this), this); }', None, None, None]

@@ -67,3 +67,13 @@ def test_parse_long(spark):
 def test_segments_keep_the_first_tag(spark):
     df = spark.createDataFrame([(1, "A:1-x,B:5-x,C:2-y,bad"), (2, None)], "id int, cv string")
     assert sorted(map(tuple, vector_segments(df, "id", F.col("cv")).collect())) == [(1, "x", "A", 5), (1, "y", "C", 2)]
+
+
+def test_sql_functions(spark):
+    from driftwise.functions.sql import register
+
+    register(spark)
+    spark.createDataFrame(list(enumerate(ODD)), "i int, cv string").createOrReplaceTempView("odd")
+    assert {r[0]: r[1] for r in spark.sql("SELECT i, cv_norm(cv) FROM odd").collect()} == {i: text(parse(cv)) for i, cv in enumerate(ODD)}
+    got = spark.sql("SELECT cv_dominates('A:2-x,B:1-y', 'C:2-x'), cv_dominates('A:1-x', 'A:1-x,B:1-y'), cv_ceiling(array('A:1-x', 'B:2-y,A:3-x')), left(version_hash('a', 'A:1-x'), 4)").first()
+    assert tuple(got)[:3] == (True, False, "x:3,y:2") and len(got[3]) == 4
