@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwise.functions.vectors import key
 from driftwise.operators.change_feed import EqualityDeleteTable, current_state
-from driftwise.operators.copy_diff import assign, diff_copies
+from driftwise.operators.copy_diff import assign, diff_copies, transport
 from driftwise.operators.delivery_dedup import deduplicate
 from driftwise.operators.eager_aggregate import aggregate_join, heavy_groups
 from driftwise.operators.ranking import rank_within
@@ -103,10 +103,37 @@ def test_pairs_of_repeated_keys_cost_least(spark, seed):
         assert sorted(tuple(g["r"]) for g in mine if g["r"]) == sorted(r[1:] for r in right)
 
 
+def test_transport_is_of_minimum_cost():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        supply, demand = rng.integers(1, 4, rng.integers(1, 5)), rng.integers(1, 4, rng.integers(1, 5))
+        cost = rng.integers(0, 4, (len(supply), len(demand))).astype(float)
+        flow = transport(supply, demand, cost)
+        units = np.repeat(np.repeat(cost, supply, axis=0), demand, axis=1)
+        units = units if units.shape[0] <= units.shape[1] else units.T
+        assert flow.min() >= 0 and (flow.sum(axis=1) <= supply).all() and (flow.sum(axis=0) <= demand).all() and flow.sum() == min(supply.sum(), demand.sum())
+        assert (flow * cost).sum() == units[range(len(units)), assign(units)].sum()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_classes_cost_as_little_as_rows(spark, seed):
+    random.seed(seed)
+    sides = [[("hot", random.choice("pqr"), random.choice(["x", "y", f"{side}{random.randrange(99)}"]), f"{side}{i}" if i % 4 else "z") for i in range(40 + 9 * side)] for side in (0, 1)]
+    fine = lambda **more: diffs(spark, *sides, **more).collect()
+    by_rows, by_classes = fine(), fine(exact_rows=10)
+    assert {g["pairing"] for g in by_classes} == {"exact"}
+    for got in (by_rows, by_classes):
+        got.sort(key=lambda g: g["side"])
+    assert [g["side"] for g in by_rows] == [g["side"] for g in by_classes]
+    assert sum(len(g["differing"]) for g in by_rows if g["side"] == "both") == sum(len(g["differing"]) for g in by_classes if g["side"] == "both")
+    for side in "lr":
+        assert sorted(tuple(g[side]) for g in by_rows if g[side]) == sorted(tuple(g[side]) for g in by_classes if g[side])
+
+
 def test_a_hot_key_is_paired_whole_in_stages(spark):
     left = [("hot", str(i % 7), str(i), "same") for i in range(60)]
     right = [("hot", str(i % 7), str(i + 30), "same") for i in range(50)] + [("cold", "a", "b", "c")]
-    got = diffs(spark, left, right, exact_rows=10).collect()
+    got = diffs(spark, left, right, exact_rows=10, exact_classes=5).collect()
     hot = [g for g in got if g["k"] == "hot"]
     assert {g["pairing"] for g in hot} == {"staged"} and [g["pairing"] for g in got if g["k"] == "cold"] == ["exact"]
     shared = {r[1:] for r in left} & {r[1:] for r in right}
