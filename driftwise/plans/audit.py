@@ -448,7 +448,8 @@ def safe_restart_etag(spark, folder):
     return _items(spark, folder).groupBy("node_url").agg((F.max("etag") + 1).alias("next_etag"), F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(F.col("item_type"), F.col("flags"))).alias("n_live"), F.min("etag").alias("first_etag"), F.countDistinct("page_no").alias("n_pages"))
 
 
-@query(r"SELECT feed_seq, try_cast(regexp_replace(regexp_replace(trim(last_modified), '(\.\d{6})\d*', '\1'), 'Z$', '') AS TIMESTAMP) AS last_modified FROM iteration_items")
+@query(r"""WITH t AS (SELECT feed_seq, regexp_replace(trim(last_modified), '(\.\d{6})\d*', '\1') AS x FROM iteration_items)
+SELECT feed_seq, CASE WHEN regexp_matches(x, '[+-]\d\d:\d\d$') THEN make_timestamp(epoch_us(try_cast(x AS TIMESTAMPTZ))) ELSE try_cast(regexp_replace(x, 'Z$', '') AS TIMESTAMP) END AS last_modified FROM t""")
 def feed_timestamps(spark, folder):
     return table(spark, folder, "iteration_items").select("feed_seq", parse_iso(F.col("last_modified")).alias("last_modified"))
 
