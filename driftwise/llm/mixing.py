@@ -15,8 +15,9 @@ from driftwise.session import small
 
 
 def uniform(seed: int, identifier: Column) -> Column:
-    """A number in [0, 1) from a hash of seed and identifier: the first 8 hex digits of an MD5 sum over 2^32."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), identifier.cast("string")))
+    """A number in [0, 1) from a hash of seed and identifier (null as an empty one): the first 8 hex digits of an MD5 sum over
+    2^32."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(identifier.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 

@@ -48,3 +48,9 @@ def test_empty(spark, records, targets):
     assert mix(records.limit(0), "id", "source", "size", targets).count() == 0
     assert mix(records, "id", "source", "size", targets.limit(0)).count() == 0
     assert [r["actual_share"] for r in mix_shares(records.limit(0), "id", "source", "size", targets).collect()] == [None] * 4
+
+
+def test_null_ids_are_drawn_too(spark, targets):
+    df = spark.createDataFrame([(None, "small", 5), (1, "small", 5)], "id long, source string, size long")
+    got = mix(df, "id", "source", "size", targets)
+    assert sorted(r["copy"] for r in got.where("id is null").collect()) == [1, 2, 3, 4]
