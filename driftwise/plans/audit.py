@@ -533,7 +533,7 @@ def observed_state_match(spark, folder):
     return both.select("document_key", same.alias("unchanged"))
 
 
-@query("""WITH b AS (SELECT from_node, batch_no, count(*) AS n_rows, epoch(max(received_at)) - epoch(min(received_at)) AS seconds FROM node_document_snapshots GROUP BY 1, 2)
+@query("""WITH b AS (SELECT from_node, batch_no, count(*) AS n_rows, (epoch_us(max(received_at)) - epoch_us(min(received_at))) / 1e6 AS seconds FROM node_document_snapshots GROUP BY 1, 2)
 SELECT from_node, batch_no, n_rows, n_rows - lag(n_rows) OVER (PARTITION BY from_node ORDER BY batch_no) AS change, round(n_rows / nullif(seconds, 0), 3) AS rows_a_second FROM b""")
 def delivery_rates(spark, folder):
     """Rows of each node and delivery round, against the round before."""

@@ -47,3 +47,13 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
 def keyset_page(rows: DataFrame, after: str | None, size: int) -> DataFrame:
     """The next page by id; the limit is the feature."""
     return (rows if after is None else rows.where(F.col("id") > after)).orderBy("id").limit(size)
+
+
+def etag_page(items: DataFrame, start: int, size: int) -> DataFrame:
+    """The next items of a feed from an etag on; the limit is the feature."""
+    return items.where(F.col("etag") >= start).orderBy("etag", "feed_seq").limit(size)
+
+
+def with_prefix(rows: DataFrame, column: str, prefix: str) -> DataFrame:
+    """Rows whose id begins with a prefix, which is pushed to the scan."""
+    return rows.where(F.col(column).startswith(prefix))

@@ -11,7 +11,7 @@ from driftwise.plans import problems
 from driftwise.plans.audit import QUERIES
 from driftwise.session import cut, scratch, shared_folder, small
 from driftwise.sinks.files import manifest, quarantine, upsert, write_cache, write_csv
-from driftwise.sources.pages import first_seen, is_live_document, keyset_page, parse_pages, read_cache
+from driftwise.sources.pages import etag_page, first_seen, is_live_document, keyset_page, parse_pages, read_cache, with_prefix
 from driftwise.sources.tables import table
 from driftwise.streaming.deliveries import DeliveryStore
 from driftwise.streaming.feeds import append_feed, live_versions, read_feed
@@ -106,6 +106,8 @@ def test_stream_of_changes_ends_in_the_state_of_the_whole_feed(spark, folder, tm
 
 def test_first_seen_takes_the_least_etag(spark):
     df = spark.createDataFrame([("n", 1, "a", 5, 1), ("n", 1, "A", 4, 2), ("n", 1, "a", 4, 3), ("n", 2, "a", 9, 4)], "node_url string, page_no int, id string, etag long, feed_seq long")
+    assert [r["feed_seq"] for r in etag_page(df, 5, 9).collect()] == [1, 4] and [r["feed_seq"] for r in etag_page(df, 0, 2).collect()] == [2, 3]
+    assert with_prefix(df, "id", "A").count() == 1
     assert rows(first_seen(df)) == [("n", 1, "A", 4, 2), ("n", 2, "A", 9, 4)]
 
 
@@ -127,7 +129,7 @@ def test_delivery_store_accepts_each_identifier_once(spark, tmp_path):
         [(10, "a", t(70)), (11, "e", t(70)), (12, "D", t(71))],
     ]
     frames = [spark.createDataFrame(b, "n long, id string, at timestamp_ntz") for b in batches]
-    store = DeliveryStore(spark, f"{tmp_path}/store", frames[0].schema, "id", lambda: problems.time_bucket(F.col("at")), ["n"], pages=4)
+    store = DeliveryStore(spark, f"{tmp_path}/store", frames[0].schema, "id", lambda: problems.time_bucket(F.col("at")), ["n"], words=4)
     for i, df in enumerate(frames):
         store.accept(str(i), df)
     want = [1, 2, 4, 5, 7, 9, 11]
