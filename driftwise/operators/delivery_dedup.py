@@ -5,11 +5,11 @@ has a Bloom filter: an identifier that no other bucket's filter knows is definit
 the possible repeats alone are verified exactly, against each other: since filters have no false negatives, whatever could
 match a possible repeat in a bucket that its filter named is itself one.
 
-A filter is made of pages of 32768 bits (the JVM's bitmap functions), an identifier belonging to the page that its hash
-names, with one bit in each of two bitmaps of the page. The number of pages follows the number of rows, so the rate of false
-positives (about 0.4 % a bucket) doesn't depend on the amount of data, and pages are joined with identifiers by page number:
-Spark broadcasts them where they are small and shuffles both sides where they aren't. Neither a filter nor a list of
-identifiers ever has to fit into the driver or one task.
+A filter is blocked: a list of 64-bit words, an identifier belonging to the word that one hash names, with four bits in it
+that another one names. Words are rows, made by a bit-wise or that combines on the map side, and are joined with identifiers
+by word number: Spark broadcasts them where they are small and shuffles both sides where they aren't. The number of words
+follows the number of rows, so the rate of false positives (under 1 % a bucket) doesn't depend on the amount of data, and
+neither a filter nor a list of identifiers ever has to fit into the driver or one task.
 
 Skew: copies of one identifier are combined on the map side, in the buckets and in the filters.
 """
@@ -23,38 +23,32 @@ from pyspark.sql import functions as F
 
 from driftwise.functions.vectors import key
 
-#: Bits of a bitmap page, as the JVM's bitmap functions have them, and identifiers that a page is meant for.
-PAGE_BITS, PAGE_IDS = 32768, 2048
+#: Identifiers that a word of 64 bits is meant for, and bits that each of them sets.
+WORD_IDS, BITS = 4, 4
 
 
-def page_count(buckets: DataFrame) -> Column:
-    """The number of pages for the largest bucket, as a scalar subquery. ``buckets``: a column ``bucket``."""
+def word_count(buckets: DataFrame) -> Column:
+    """The number of words for the largest bucket, as a scalar subquery. ``buckets``: a column ``bucket``."""
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    return F.greatest(F.lit(1), F.coalesce(counts.agg(F.max("n").alias("n")).scalar(), F.lit(0)) / PAGE_IDS).cast("bigint")
+    return F.greatest(F.lit(1), F.coalesce(counts.agg(F.max("n").alias("n")).scalar(), F.lit(0)) / WORD_IDS).cast("bigint")
 
 
-def positions(identifier: Column, pages: Column) -> list[Column]:
-    """``page``, ``p1`` and ``p2``: where the identifier's bits are."""
-    h = F.xxhash64(identifier, F.lit(1))
-    return [
-        F.pmod(F.xxhash64(identifier), pages).alias("page"),
-        h.bitwiseAND(F.lit(PAGE_BITS - 1)).cast("int").alias("p1"),
-        F.shiftrightunsigned(h, 15).bitwiseAND(F.lit(PAGE_BITS - 1)).cast("int").alias("p2"),
-    ]
+def word_and_mask(identifier: Column, words: Column) -> list[Column]:
+    """``word`` and ``mask``: where the identifier's bits are."""
+    h, mask = F.xxhash64(identifier, F.lit(1)), F.lit(0).cast("bigint")
+    for i in range(BITS):
+        bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
+    return [F.pmod(F.xxhash64(identifier), words).alias("word"), mask.alias("mask")]
 
 
-def filters(keys: DataFrame, pages: Column) -> DataFrame:
-    """Bloom filters of ``keys`` (columns bucket and key): ``bucket``, ``page`` and the bitmaps ``b1`` and ``b2``.
+def filters(keys: DataFrame, words: Column) -> DataFrame:
+    """Bloom filters of ``keys`` (columns bucket and key): ``bucket``, ``word`` and its ``bits``."""
+    return keys.select("bucket", *word_and_mask(F.col("key"), words)).groupBy("bucket", "word").agg(F.bit_or("mask").alias("bits"))
 
-    Bits are made distinct first, which takes the repeats of a key away on the map side, and a page's bits then go to one
-    task: bitmaps are built after the shuffle, else each map task would send a nearly empty one of every page."""
-    bits = keys.select("bucket", *positions(F.col("key"), pages)).distinct()
-    return bits.repartition("bucket", "page").groupBy("bucket", "page").agg(F.bitmap_construct_agg("p1").alias("b1"), F.bitmap_construct_agg("p2").alias("b2"))
 
-
-def has_bit(bitmap: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(position, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("getbit", byte, position.bitwiseAND(F.lit(7))) == 1
+def knows(bits: Column, mask: Column) -> Column:
+    return bits.bitwiseAND(mask) == mask
 
 
 def deduplicate(rows: DataFrame, identifier: str, bucket: Column, rank: Sequence[Column], keep: Sequence[str], *, same: Callable[[Column], Column] = key) -> DataFrame:
@@ -66,16 +60,13 @@ def deduplicate(rows: DataFrame, identifier: str, bucket: Column, rank: Sequence
     names = [f"x{i}" for i in range(len(keep))]
     kept = F.struct(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).alias("kept")
     known = rows.where(F.col(identifier).isNotNull()).select(bucket.alias("bucket"), same(F.col(identifier)).alias("key"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"), kept)
-    pages = page_count(known.select("bucket"))
+    words = word_count(known.select("bucket"))
     stored = known.groupBy("bucket", "key").agg(F.max(F.struct("rank", "kept", "key")).alias("w")).select("bucket", "w")
-    bloom = filters(known.select("bucket", "key"), pages).select(F.col("bucket").alias("other"), F.col("page").alias("at"), "b1", "b2")
+    bloom = filters(known.select("bucket", "key"), words).select(F.col("bucket").alias("other"), F.col("word").alias("at"), "bits")
     # both branches below take the same columns of the same outer join, so its inputs are shuffled once for the two
-    probed = stored.select("*", *positions(F.col("w.key"), pages)).join(
-        bloom,
-        (F.col("page") == F.col("at")) & ~F.col("bucket").eqNullSafe(F.col("other")) & has_bit(F.col("b1"), F.col("p1")) & has_bit(F.col("b2"), F.col("p2")),
-        "left",
-    )
-    possible = F.col("at").eqNullSafe(F.col("page"))
+    named = (F.col("word") == F.col("at")) & ~F.col("bucket").eqNullSafe(F.col("other")) & knows(F.col("bits"), F.col("mask"))
+    probed = stored.select("*", *word_and_mask(F.col("w.key"), words)).join(bloom, named, "left")
+    possible = F.col("at").eqNullSafe(F.col("word"))
     new = probed.where(~possible).select("w.kept")
     # a possible repeat comes once for each bucket that may hold it, which the maximum doesn't mind
     verified = probed.where(possible).groupBy(F.col("w.key").alias("key")).agg(F.max("w").alias("w")).select("w.kept")

@@ -15,20 +15,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.vectors import key
-from driftwise.operators.delivery_dedup import filters, has_bit, positions
+from driftwise.operators.delivery_dedup import filters, knows, word_and_mask
 from driftwise.session import cut
 
-FILTERS = "bucket int, page bigint, b1 binary, b2 binary, batch string"
+FILTERS = "bucket int, word bigint, bits bigint, batch string"
 
 
 class DeliveryStore:
     """``identifier``: the column that says what a message is; ``bucket``: a function of rows to an int column, their time
-    bucket (null: -1); ``order``: columns by which the first of several copies within a batch is chosen. ``pages``: Bloom
-    pages of a bucket, one for each 2048 identifiers that a bucket is expected to hold; more only raise the number of exact
-    lookups."""
+    bucket (null: -1); ``order``: columns by which the first of several copies within a batch is chosen. ``words``: 64-bit
+    words of a bucket's filter, one for each four identifiers that it is expected to hold; more identifiers only raise the
+    number of exact lookups."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, identifier: str, bucket: Callable[[], Column], order: Sequence[str], pages: int = 64) -> None:
-        self.spark, self.path, self.schema, self.identifier, self.bucket, self.order, self.pages = spark, path, schema, identifier, bucket, list(order), F.lit(pages).cast("bigint")
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, identifier: str, bucket: Callable[[], Column], order: Sequence[str], words: int = 2**20) -> None:
+        self.spark, self.path, self.schema, self.identifier, self.bucket, self.order, self.words = spark, path, schema, identifier, bucket, list(order), F.lit(words).cast("bigint")
 
     def _read(self, what: str, schema: T.StructType | str, batch: str | None) -> DataFrame:
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
@@ -50,8 +50,8 @@ class DeliveryStore:
         made = rows.select(*names, key(F.col(self.identifier)).alias("_key"), F.coalesce(self.bucket().cast("int"), F.lit(-1)).alias("_bucket"))
         first = made.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(F.struct(*self.order, F.struct(*names, "_bucket").alias("row"))).alias("w")).select("_key", "w.row.*")
         first = cut(first)
-        known = self._read("filters", FILTERS, batch).groupBy(F.col("bucket").alias("other"), F.col("page").alias("at")).agg(F.bitmap_or_agg("b1").alias("b1"), F.bitmap_or_agg("b2").alias("b2"))
-        probed = first.select("_key", *positions(F.col("_key"), self.pages)).join(known, (F.col("page") == F.col("at")) & has_bit(F.col("b1"), F.col("p1")) & has_bit(F.col("b2"), F.col("p2")))
+        known = self._read("filters", FILTERS, batch).groupBy(F.col("bucket").alias("other"), F.col("word").alias("at")).agg(F.bit_or("bits").alias("bits"))
+        probed = first.select("_key", *word_and_mask(F.col("_key"), self.words)).join(known, (F.col("word") == F.col("at")) & knows(F.col("bits"), F.col("mask")))
         possible = cut(probed.select("_key", F.col("other").alias("_bucket")))
         named = [r[0] for r in possible.select("_bucket").distinct().collect()]  # as many as there are time buckets, at most
         stored = self._stored(batch).where(F.col("_bucket").isin(named)).select("_key", "_bucket")
@@ -59,4 +59,4 @@ class DeliveryStore:
         new = first.join(repeats, "_key", "left_anti").unionByName(made.where(F.col("_key").isNull()))
         new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/rows/batch={batch}")
         accepted = self._stored(None).where((F.col("batch") == batch) & F.col("_key").isNotNull()).select(F.col("_bucket").alias("bucket"), F.col("_key").alias("key"))
-        filters(accepted, self.pages).write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
+        filters(accepted, self.words).write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
