@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from driftwise import fixed
+
 
 def duration_text(seconds: Column) -> Column:
     """``HH:MM:SS`` with as many digits of hours as they need; negative durations are zero."""
@@ -41,10 +43,10 @@ def parse_iso(text: Column) -> Column:
     return F.when(short.rlike(r"[+-]\d\d:\d\d$"), shifted).otherwise(F.regexp_replace(short, "Z$", "").try_cast("timestamp_ntz"))
 
 
-def touch_statement(collection: Column, ids_parameter: str = "$ids") -> Column:
+def touch_statement(collection: Column) -> Column:
     """A statement that rewrites the documents of a collection unchanged; null for a blank collection."""
     escaped = F.replace(collection, F.lit('"'), F.lit('""'))
-    return F.when(collection.isNotNull() & (F.trim(collection) != ""), F.concat(F.lit('from "'), escaped, F.lit(f'" where id() in ({ids_parameter}) update {{ put(id(this), this); }}')))
+    return F.when(collection.isNotNull() & (F.trim(collection) != ""), F.concat(F.lit(fixed.TOUCH_BEFORE), escaped, F.lit(fixed.TOUCH_AFTER)))
 
 
 def base_url(url: Column) -> Column:

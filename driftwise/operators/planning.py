@@ -7,18 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.vectors import blank, key
 from driftwise.operators.ranking import rank_within
 
-PLANNED, AMBIGUOUS, COLLECTION = "PatchPlannedDryRun", "SkippedAmbiguousCv", "SkippedCollectionMismatch"
+PLANNED, AMBIGUOUS, COLLECTION = fixed.PLANNED, fixed.SKIPPED_AMBIGUOUS, fixed.SKIPPED_COLLECTION
 GROUP = ["winner_node", "collection", "winner_cv"]
 
 
 def decision() -> Column:
     """What is to be done about an evaluated document."""
     kind = F.col("mismatch_type")
-    unclear = (kind == "COLLECTION_MISMATCH") | blank(F.col("collection")) | blank(F.col("winner_node"))
-    return F.when(kind == "AMBIGUOUS_CV", AMBIGUOUS).when(unclear, COLLECTION).otherwise(PLANNED)
+    unclear = (kind == fixed.COLLECTION_MISMATCH) | blank(F.col("collection")) | blank(F.col("winner_node"))
+    return F.when(kind == fixed.AMBIGUOUS_CV, AMBIGUOUS).when(unclear, COLLECTION).otherwise(PLANNED)
 
 
 def effective_decision() -> Column:

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.vectors import blank, components, dominates, key, let, normalize, segments
 
 
@@ -37,13 +38,13 @@ def has_unsafe_characters(document_id: Column) -> Column:
 
 def unsafe_reason(document_id: Column) -> Column:
     """What makes an id unsafe, or 'None'; null for a null id."""
-    reasons = F.concat_ws(",", F.when(F.contains(document_id, F.lit("\\")), F.lit("ContainsBackslash")), F.when(document_id.rlike(r"[\x00-\x1f]"), F.lit("ContainsControlCharacter")))
-    return F.when(document_id.isNull(), F.lit(None)).when(reasons == "", "None").otherwise(reasons)
+    reasons = F.concat_ws(",", F.when(F.contains(document_id, F.lit("\\")), F.lit(fixed.BACKSLASH)), F.when(document_id.rlike(r"[\x00-\x1f]"), F.lit(fixed.CONTROL)))
+    return F.when(document_id.isNull(), F.lit(None)).when(reasons == "", fixed.SAFE).otherwise(reasons)
 
 
 def physical_id(document_id: Column, alias: Column) -> Column:
     """The id of a document's row of a node: readable, or a digest where the document's id is unsafe."""
-    digest = F.concat(F.lit("NodeDocumentSnapshots/"), alias, F.lit("/"), F.upper(F.sha2(document_id, 256)))
+    digest = F.concat(F.lit(fixed.DIGEST_PREFIX), alias, F.lit("/"), F.upper(F.sha2(document_id, 256)))
     return F.when(has_unsafe_characters(document_id), digest).otherwise(F.concat(document_id, F.lit("/"), alias))
 
 
@@ -102,11 +103,11 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     winners = F.filter("p", lambda s: (F.col("n_versions") == 1) | (s.nv == F.col("top")))
     judged = sized.select("*", F.array_min(winners).alias("w"), F.size(F.array_distinct(F.transform("named", key))).alias("n_collections"), (F.size("p") < F.size("states")).alias("missing"), F.monotonically_increasing_id().alias("_row"))
     kind = (
-        F.when(F.col("n_collections") > 1, "COLLECTION_MISMATCH")
+        F.when(F.col("n_collections") > 1, fixed.COLLECTION_MISMATCH)
         .when(~F.col("missing") & (F.col("n_versions") == 1), F.lit(None))
-        .when(F.col("w").isNull(), "AMBIGUOUS_CV")
-        .when(F.col("missing"), "MISSING")
-        .otherwise("CV_MISMATCH")
+        .when(F.col("w").isNull(), fixed.AMBIGUOUS_CV)
+        .when(F.col("missing"), fixed.MISSING)
+        .otherwise(fixed.CV_MISMATCH)
     )
     urls = F.array_sort(F.array_distinct(F.transform("states", lambda s: F.struct(key(s.node_url).alias("u"), s.node_url.alias("url")))))
     affected = F.transform(F.filter(urls, lambda x: F.col("w").isNull() | (x.u != F.col("w.u"))), lambda x: x.url)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.vectors import blank
 from driftwise.operators.planning import effective_decision
 
@@ -16,7 +17,7 @@ def manual_review(mismatches: DataFrame) -> DataFrame:
     """Ambiguous documents with the nodes that hold them and the different vectors that were seen there."""
     held = F.filter("observed_state", lambda s: s.present)
     vectors = F.array_distinct(F.filter(F.transform(held, lambda s: s.change_vector), lambda v: ~blank(v)))
-    return mismatches.where(F.col("mismatch_type") == "AMBIGUOUS_CV").select(
+    return mismatches.where(F.col("mismatch_type") == fixed.AMBIGUOUS_CV).select(
         *OVERVIEW, F.array_join(F.sort_array(F.transform(held, lambda s: s.node_url)), ",").alias("present_nodes"), F.coalesce(F.size(held), F.lit(0)).alias("n_present"), F.array_join(F.sort_array(vectors), " | ").alias("vectors"), F.coalesce(F.size(vectors), F.lit(0)).alias("n_vectors")
     )
 
@@ -32,7 +33,7 @@ def unhealthy(mismatches: DataFrame) -> DataFrame:
 
 def run_overview(mismatches: DataFrame) -> DataFrame:
     """Counts for each run, with the share of the most frequent type: combined on the map side."""
-    kinds = ["MISSING", "CV_MISMATCH", "AMBIGUOUS_CV", "COLLECTION_MISMATCH"]
+    kinds = [fixed.MISSING, fixed.CV_MISMATCH, fixed.AMBIGUOUS_CV, fixed.COLLECTION_MISMATCH]
     return mismatches.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.upper("document_id")).alias("n_documents"), *[F.count_if(F.col("mismatch_type") == k).alias(k.lower()) for k in kinds], F.min("detected_at").alias("first_detected"), F.max("detected_at").alias("last_detected"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.vectors import blank, key, normalize, parse_long, strip
 from driftwise.operators.change_feed import EqualityDeleteTable
 from driftwise.operators.copy_diff import diff_copies
@@ -152,9 +153,9 @@ P2_DIFFERENCES_SQL = (
 def feed_effect(item_type: Column, flags: Column) -> Column:
     """What an item does to its document: put, delete, or nothing (null)."""
     kind = key(strip(item_type))
-    has = lambda flag: F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == flag.upper()), F.lit(False))
-    document = kind == "DOCUMENT"
-    return F.when(document & ~has("Conflicted") & ~has("DeleteRevision"), "put").when((document & ~has("Conflicted")) | (kind == "TOMBSTONE"), "delete")
+    has = lambda flag: F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == flag), F.lit(False))
+    document = kind == fixed.DOCUMENT
+    return F.when(document & ~has(fixed.CONFLICTED) & ~has(fixed.DELETE_REVISION), "put").when((document & ~has(fixed.CONFLICTED)) | (kind == fixed.TOMBSTONE), "delete")
 
 
 def feed_entries(items: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.scalars import parse_iso
 from driftwise.functions.vectors import blank, key, parse_long, strip
 
@@ -28,8 +29,8 @@ def parse_pages(pages: DataFrame, body: Column) -> DataFrame:
 
 def is_live_document(item_type: Column, flags: Column) -> Column:
     """Whether an item is a document that is neither conflicted nor a deleted revision. Never null."""
-    barred = F.exists(F.split(flags, ","), lambda f: key(strip(f)).isin("CONFLICTED", "DELETEREVISION"))
-    return F.coalesce(key(strip(item_type)) == "DOCUMENT", F.lit(False)) & ~F.coalesce(barred, F.lit(False))
+    barred = F.exists(F.split(flags, ","), lambda f: key(strip(f)).isin(fixed.CONFLICTED, fixed.DELETE_REVISION))
+    return F.coalesce(key(strip(item_type)) == fixed.DOCUMENT, F.lit(False)) & ~F.coalesce(barred, F.lit(False))
 
 
 def first_seen(items: DataFrame) -> DataFrame:
