@@ -16,7 +16,9 @@ def duration_text(seconds: Column) -> Column:
 
 def age_text(at: Column, now: Column) -> Column:
     """How long ago ``at`` was, or 'never' for null."""
-    return F.when(at.isNull(), "never").otherwise(duration_text(F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(at.cast("timestamp")) / 1e6))
+    return F.when(at.isNull(), "never").otherwise(
+        duration_text(F.unix_micros(now.cast("timestamp")) / 1e6 - F.unix_micros(at.cast("timestamp")) / 1e6)
+    )
 
 
 def backoff_seconds(failures: Column, first: int = 30, most: int = 60) -> Column:
@@ -46,7 +48,9 @@ def parse_iso(text: Column) -> Column:
 def touch_statement(collection: Column) -> Column:
     """A statement that rewrites the documents of a collection unchanged; null for a blank collection."""
     escaped = F.replace(collection, F.lit('"'), F.lit('""'))
-    return F.when(collection.isNotNull() & (F.trim(collection) != ""), F.concat(F.lit(fixed.TOUCH_BEFORE), escaped, F.lit(fixed.TOUCH_AFTER)))
+    return F.when(
+        collection.isNotNull() & (F.trim(collection) != ""), F.concat(F.lit(fixed.TOUCH_BEFORE), escaped, F.lit(fixed.TOUCH_AFTER))
+    )
 
 
 def base_url(url: Column) -> Column:

@@ -13,7 +13,11 @@ filter(transform(filter(transform(transform(split(coalesce(cv, ''), ','), s -> b
   x -> x.e IS NOT NULL)"""
 #: name: (parameters, result type, body). The greatest etag of an id is the last of it in the sorted list.
 FUNCTIONS = {
-    "cv_components": ("cv STRING", "ARRAY<STRUCT<d: STRING, e: BIGINT>>", f"transform(array(sort_array({SEGMENTS})), a -> filter(a, (x, i) -> NOT (get(a, i + 1).d <=> x.d)))[0]"),
+    "cv_components": (
+        "cv STRING",
+        "ARRAY<STRUCT<d: STRING, e: BIGINT>>",
+        f"transform(array(sort_array({SEGMENTS})), a -> filter(a, (x, i) -> NOT (get(a, i + 1).d <=> x.d)))[0]",
+    ),
     "cv_norm": ("cv STRING", "STRING", "array_join(transform(cv_components(cv), x -> concat(x.d, ':', x.e)), ',')"),
     "cv_ceiling": ("vectors ARRAY<STRING>", "STRING", "cv_norm(array_join(vectors, ','))"),
     "cv_dominates": ("l STRING, r STRING", "BOOLEAN", "cv_norm(concat_ws(',', l, r)) = cv_norm(l)"),

@@ -49,7 +49,9 @@ def segments(cv: Column, ignored: Iterable[str] = ()) -> Column:
     cut = F.transform(F.split(cv, ","), strip)
     cut = F.transform(cut, lambda s: F.struct(s.alias("s"), F.instr(s, ":").alias("c")))
     # the first dash after the first colon ends the etag
-    cut = F.transform(cut, lambda x: F.struct(x.s.alias("s"), x.c.alias("c"), F.call_function("locate", F.lit("-"), x.s, x.c + 1).alias("h")))
+    cut = F.transform(
+        cut, lambda x: F.struct(x.s.alias("s"), x.c.alias("c"), F.call_function("locate", F.lit("-"), x.s, x.c + 1).alias("h"))
+    )
     cut = F.filter(cut, lambda x: (x.c > 1) & (x.h > 0))
     parts = F.transform(
         cut,

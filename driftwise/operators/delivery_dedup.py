@@ -51,7 +51,9 @@ def knows(bits: Column, mask: Column) -> Column:
     return bits.bitwiseAND(mask) == mask
 
 
-def deduplicate(rows: DataFrame, identifier: str, bucket: Column, rank: Sequence[Column], keep: Sequence[str], *, same: Callable[[Column], Column] = key) -> DataFrame:
+def deduplicate(
+    rows: DataFrame, identifier: str, bucket: Column, rank: Sequence[Column], keep: Sequence[str], *, same: Callable[[Column], Column] = key
+) -> DataFrame:
     """The ``keep`` columns of one row for each identifier: the one with the greatest ``rank`` (columns in order, null least).
 
     Identifiers are compared by ``same`` (by default without regard to case), which gives a value for every value. Rows
@@ -59,7 +61,12 @@ def deduplicate(rows: DataFrame, identifier: str, bucket: Column, rank: Sequence
     Other columns don't enter. An empty table gives an empty one."""
     names = [f"x{i}" for i in range(len(keep))]
     kept = F.struct(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]).alias("kept")
-    known = rows.where(F.col(identifier).isNotNull()).select(bucket.alias("bucket"), same(F.col(identifier)).alias("key"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"), kept)
+    known = rows.where(F.col(identifier).isNotNull()).select(
+        bucket.alias("bucket"),
+        same(F.col(identifier)).alias("key"),
+        F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"),
+        kept,
+    )
     words = word_count(known.select("bucket"))
     stored = known.groupBy("bucket", "key").agg(F.max(F.struct("rank", "kept", "key")).alias("w")).select("bucket", "w")
     bloom = filters(known.select("bucket", "key"), words).select(F.col("bucket").alias("other"), F.col("word").alias("at"), "bits")

@@ -39,7 +39,11 @@ def aggregate_join(
     right_sums, left_sums = right_sums or {}, left_sums or {}
     g = [f"g{i}" for i in range(len(groups))]
     states = (
-        left.select(left_key.alias("k"), *[c.alias(n) for n, c in zip(g, groups.values(), strict=True)], *[c.alias(f"l{i}") for i, c in enumerate(left_sums.values())])
+        left.select(
+            left_key.alias("k"),
+            *[c.alias(n) for n, c in zip(g, groups.values(), strict=True)],
+            *[c.alias(f"l{i}") for i, c in enumerate(left_sums.values())],
+        )
         .groupBy("k", *g)
         .agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"l{i}").alias(f"l{i}") for i in range(len(left_sums))])
     )

@@ -48,12 +48,18 @@ def group_id() -> Column:
 def repair_groups(planned: DataFrame) -> DataFrame:
     """One row for each winner node, collection and winning vector, with the number of documents and the least and greatest
     id. Members are rows of :func:`plan_items`: a group of a third of all documents isn't gathered into a list."""
-    return planned.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n_docs"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document"))
+    return planned.groupBy(*GROUP).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.min("document_id").alias("first_document"), F.max("document_id").alias("last_document")
+    )
 
 
 def plan_items(planned: DataFrame) -> DataFrame:
     """One row for each document of a plan, with a deterministic id, and the group it belongs to."""
-    return planned.select(F.sha2(F.concat(group_id(), F.lit("/"), key(F.col("document_id"))), 256).alias("item_id"), "document_id", group_id().alias("group_id")).distinct()
+    return planned.select(
+        F.sha2(F.concat(group_id(), F.lit("/"), key(F.col("document_id"))), 256).alias("item_id"),
+        "document_id",
+        group_id().alias("group_id"),
+    ).distinct()
 
 
 def chunks(rows: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 100_000
 
 
-def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], sizes: DataFrame, *, rank: str = "rank", slice_rows: int = SLICE_ROWS) -> DataFrame:
+def rank_within(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], sizes: DataFrame, *, rank: str = "rank", slice_rows: int = SLICE_ROWS
+) -> DataFrame:
     """``df`` with ``rank``: the position, from 0, of each row within its group of ``by``.
 
     ``sizes`` has the columns ``by`` and ``n``, the number of rows of each group. Groups of more than ``slice_rows`` rows are
@@ -24,13 +26,21 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], sizes: D
     on = counts[0]
     for c in counts[1:]:
         on = on & c
-    sized = df.join(sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.col("n").alias("_n")), on).withColumn("_slice", F.pmod(F.xxhash64(*order), slices)).drop(*[f"_s_{c}" for c in by])
+    sized = df.join(
+        sizes.select(*[F.col(c).alias(f"_s_{c}") for c in by], F.col("n").alias("_n")), on
+    ).withColumn("_slice", F.pmod(F.xxhash64(*order), slices)).drop(*[f"_s_{c}" for c in by])
     cut = sized.where(F.col("_n") > slice_rows).groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_c"))
-    starts = cut.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_slice").alias("_t"), (F.sum("_c").over(W.partitionBy(*by).orderBy("_slice")) - F.col("_c")).alias("_start"))
+    starts = cut.select(
+        *[F.col(c).alias(f"_t_{c}") for c in by],
+        F.col("_slice").alias("_t"),
+        (F.sum("_c").over(W.partitionBy(*by).orderBy("_slice")) - F.col("_c")).alias("_start"),
+    )
     numbered = sized.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_slice").orderBy(*order)) - 1)
     on = F.col("_t") == F.col("_slice")
     for c in by:
         on = on & F.col(f"_t_{c}").eqNullSafe(F.col(c))
-    return numbered.join(starts, on, "left").withColumn(rank, F.col("_r") + F.coalesce("_start", F.lit(0))).drop("_r", "_n", "_slice", "_t", "_start", *[f"_t_{c}" for c in by])
+    return numbered.join(starts, on, "left").withColumn(rank, F.col("_r") + F.coalesce("_start", F.lit(0))).drop(
+        "_r", "_n", "_slice", "_t", "_start", *[f"_t_{c}" for c in by]
+    )
 
 

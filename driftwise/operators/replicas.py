@@ -38,7 +38,11 @@ def has_unsafe_characters(document_id: Column) -> Column:
 
 def unsafe_reason(document_id: Column) -> Column:
     """What makes an id unsafe, or 'None'; null for a null id."""
-    reasons = F.concat_ws(",", F.when(F.contains(document_id, F.lit("\\")), F.lit(fixed.BACKSLASH)), F.when(document_id.rlike(r"[\x00-\x1f]"), F.lit(fixed.CONTROL)))
+    reasons = F.concat_ws(
+        ",",
+        F.when(F.contains(document_id, F.lit("\\")), F.lit(fixed.BACKSLASH)),
+        F.when(document_id.rlike(r"[\x00-\x1f]"), F.lit(fixed.CONTROL)),
+    )
     return F.when(document_id.isNull(), F.lit(None)).when(reasons == "", fixed.SAFE).otherwise(reasons)
 
 
@@ -56,7 +60,12 @@ def version_hash(document_id: Column, vector: Column) -> Column:
 def latest(rows: DataFrame, by: Sequence[Column], keep: Sequence[str]) -> DataFrame:
     """The ``keep`` columns of the latest row of each ``by``: greatest last_modified (null least), then greatest vector
     (ignoring case), then the first delivered."""
-    order = F.struct(F.col("last_modified"), key(F.coalesce("change_vector", F.lit(""))).alias("v"), (-F.col("delivery_id")).alias("d"), F.struct(*keep).alias("row"))
+    order = F.struct(
+        F.col("last_modified"),
+        key(F.coalesce("change_vector", F.lit(""))).alias("v"),
+        (-F.col("delivery_id")).alias("d"),
+        F.struct(*keep).alias("row"),
+    )
     names = [f"b{i}" for i in range(len(by))]
     return rows.groupBy(*[c.alias(n) for c, n in zip(by, names, strict=True)]).agg(F.max(order).alias("w")).select("w.row.*")
 
@@ -67,10 +76,18 @@ def align(rows: DataFrame, nodes: Sequence[Node]) -> DataFrame:
 
     Of several rows of a document and node the latest counts (see :func:`latest`). Null vectors are empty ones. Rows of
     other nodes are left out, so are null document ids."""
-    state = F.struct(F.col("last_modified").alias("lm"), key(F.coalesce("change_vector", F.lit(""))).alias("v"), (-F.col("delivery_id")).alias("d"), F.col("collection").alias("c"), F.coalesce("change_vector", F.lit("")).alias("cv"))
+    state = F.struct(
+        F.col("last_modified").alias("lm"),
+        key(F.coalesce("change_vector", F.lit(""))).alias("v"),
+        (-F.col("delivery_id")).alias("d"),
+        F.col("collection").alias("c"),
+        F.coalesce("change_vector", F.lit("")).alias("cv"),
+    )
     held = rows.where(F.col("original_document_id").isNotNull() & F.col("from_node").isin([n.alias for n in nodes]))
     best = held.groupBy(key(F.col("original_document_id")).alias("document_key")).agg(
-        F.min("original_document_id").alias("document_id"), *[F.max(F.when(F.col("from_node") == n.alias, state)).alias(f"n{n.index}") for n in nodes]
+        F.min("original_document_id").alias("document_id"), *[
+            F.max(F.when(F.col("from_node") == n.alias, state)).alias(f"n{n.index}") for n in nodes
+        ]
     )
     cell = lambda n: F.struct(
         F.lit(n.index).alias("node_idx"), F.lit(n.alias).alias("node"), F.lit(n.url).alias("node_url"), F.col(f"n{n.index}").isNotNull().alias("present"),
@@ -91,9 +108,25 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     ignored = list(ignored)
     differs = lambda f: F.size(F.array_distinct(F.transform("states", f))) > 1
     # most documents are held everywhere in one spelling, hence consistent, which needs no vector to be read
-    suspects = aligned.where(F.exists("states", lambda s: s.present) & (F.exists("states", lambda s: ~s.present) | differs(lambda s: s.change_vector) | differs(lambda s: key(s.collection))))
+    suspects = aligned.where(
+        F.exists("states", lambda s: s.present) & (
+            F.exists("states", lambda s: ~s.present) | differs(lambda s: s.change_vector) | differs(lambda s: key(s.collection))
+        )
+    )
     # normalised once a replica, in an array of its own: every later expression reads it
-    held = suspects.withColumn("p", F.transform(F.filter("states", lambda s: s.present), lambda s: F.struct(key(s.node_url).alias("u"), s.node_idx.alias("i"), s.node_url.alias("url"), s.collection.alias("c"), s.change_vector.alias("cv"), normalize(s.change_vector, ignored).alias("nv"))))
+    held = suspects.withColumn(
+        "p",
+        F.transform(
+            F.filter("states", lambda s: s.present), lambda s: F.struct(
+                key(s.node_url).alias("u"),
+                s.node_idx.alias("i"),
+                s.node_url.alias("url"),
+                s.collection.alias("c"),
+                s.change_vector.alias("cv"),
+                normalize(s.change_vector, ignored).alias("nv"),
+            )
+        ),
+    )
     sized = held.select(
         "*",
         F.transform(F.filter("p", lambda s: ~blank(s.c)), lambda s: s.c).alias("named"),
@@ -101,7 +134,13 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
         normalize(F.array_join(F.transform("p", lambda s: s.cv), ","), ignored).alias("top"),
     )
     winners = F.filter("p", lambda s: (F.col("n_versions") == 1) | (s.nv == F.col("top")))
-    judged = sized.select("*", F.array_min(winners).alias("w"), F.size(F.array_distinct(F.transform("named", key))).alias("n_collections"), (F.size("p") < F.size("states")).alias("missing"), F.monotonically_increasing_id().alias("_row"))
+    judged = sized.select(
+        "*",
+        F.array_min(winners).alias("w"),
+        F.size(F.array_distinct(F.transform("named", key))).alias("n_collections"),
+        (F.size("p") < F.size("states")).alias("missing"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
     kind = (
         F.when(F.col("n_collections") > 1, fixed.COLLECTION_MISMATCH)
         .when(~F.col("missing") & (F.col("n_versions") == 1), F.lit(None))
@@ -112,7 +151,9 @@ def evaluate(aligned: DataFrame, ignored: Iterable[str] = ()) -> DataFrame:
     urls = F.array_sort(F.array_distinct(F.transform("states", lambda s: F.struct(key(s.node_url).alias("u"), s.node_url.alias("url")))))
     affected = F.transform(F.filter(urls, lambda x: F.col("w").isNull() | (x.u != F.col("w.u"))), lambda x: x.url)
     return judged.select(
-        "document_key", "document_id", F.when(F.col("n_collections") == 1, F.get("named", F.lit(0))).otherwise(F.get("p", F.lit(0)).c).alias("collection"), kind.alias("mismatch_type"),
+        "document_key", "document_id", F.when(
+            F.col("n_collections") == 1, F.get("named", F.lit(0))
+        ).otherwise(F.get("p", F.lit(0)).c).alias("collection"), kind.alias("mismatch_type"),
         F.col("w.url").alias("winner_node"), F.col("w.cv").alias("winner_cv"), F.array_join(affected, ",").alias("affected_nodes"), "states", "_row",
     ).where(F.col("mismatch_type").isNotNull() & (F.col("_row") >= 0)).drop("_row")
 
@@ -128,14 +169,18 @@ def problem_candidates(rows: DataFrame, n_nodes: int) -> DataFrame:
 
     The sets of a document have at most as many members as it has physical rows, which is the number of nodes."""
     index = rows.groupBy(key(F.col("original_document_id")).alias("document_key")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.array_join(F.sort_array(F.collect_set("from_node")), ",").alias("from_nodes"), F.size(F.collect_set("from_node")).alias("n_nodes"), F.size(F.collect_set(key(F.coalesce("change_vector", F.lit(""))))).alias("n_vectors")
+        F.count(F.lit(1)).alias("n_rows"), F.array_join(F.sort_array(F.collect_set("from_node")), ",").alias("from_nodes"), F.size(F.collect_set("from_node")).alias("n_nodes"), F.size(
+            F.collect_set(key(F.coalesce("change_vector", F.lit(""))))
+        ).alias("n_vectors")
     )
     return index.where((F.col("n_rows") < n_nodes) | (F.col("n_vectors") > 1))
 
 
 def segment_pivot(aligned: DataFrame, nodes: Sequence[Node], ignored: Iterable[str] = ()) -> DataFrame:
     """Etags by database id (rows) and node (columns named by alias in lower case), and whether all nodes have the same."""
-    cells = aligned.select("document_key", F.explode("states").alias("s")).select("document_key", "s.node", F.explode(components(F.col("s.change_vector"), ignored)).alias("x"))
+    cells = aligned.select("document_key", F.explode("states").alias("s")).select(
+        "document_key", "s.node", F.explode(components(F.col("s.change_vector"), ignored)).alias("x")
+    )
     wide = cells.groupBy("document_key", F.col("x.d").alias("db_id")).pivot("node", [n.alias for n in nodes]).agg(F.max("x.e"))
     names = [n.alias.lower() for n in nodes]
     renamed = wide.withColumnsRenamed({n.alias: n.alias.lower() for n in nodes})
@@ -148,15 +193,33 @@ def segment_pivot(aligned: DataFrame, nodes: Sequence[Node], ignored: Iterable[s
 def dominance(aligned: DataFrame) -> DataFrame:
     """For each two replicas that a document has on different nodes, in either order, whether the left dominates the right.
     As many rows for a document as there are ordered pairs of configured nodes, at most."""
-    pairs = F.flatten(F.transform("h", lambda a: F.transform(F.filter("h", lambda b: b.node != a.node), lambda b: F.struct(a.node.alias("node_l"), b.node.alias("node_r"), a.change_vector.alias("l"), b.change_vector.alias("r")))))
+    pairs = F.flatten(
+        F.transform(
+            "h", lambda a: F.transform(
+                F.filter("h", lambda b: b.node != a.node), lambda b: F.struct(
+                    a.node.alias("node_l"), b.node.alias("node_r"), a.change_vector.alias("l"), b.change_vector.alias("r")
+                )
+            )
+        )
+    )
     held = aligned.select("document_key", F.filter("states", lambda s: s.present).alias("h"))
-    return held.select("document_key", F.explode(pairs).alias("x")).select("document_key", "x.node_l", "x.node_r", dominates(F.col("x.l"), F.col("x.r")).alias("dominates"))
+    return held.select("document_key", F.explode(pairs).alias("x")).select(
+        "document_key", "x.node_l", "x.node_r", dominates(F.col("x.l"), F.col("x.r")).alias("dominates")
+    )
 
 
 def vector_segments(rows: DataFrame, row_id: str, vector: Column) -> DataFrame:
     """Segments of vectors by database id: ``row_id``, ``db_id``, ``tag`` (of the first segment with the id) and the greatest
     ``etag``."""
-    each = let(segments(vector), lambda a: F.transform(F.array_distinct(F.transform(a, lambda x: x.d)), lambda d: let(F.filter(a, lambda x: x.d == d), lambda g: F.struct(d.alias("db_id"), F.get(g, F.lit(0)).t.alias("tag"), F.array_max(F.transform(g, lambda x: x.e)).alias("etag")))))
+    each = let(
+        segments(vector), lambda a: F.transform(
+            F.array_distinct(F.transform(a, lambda x: x.d)), lambda d: let(
+                F.filter(a, lambda x: x.d == d), lambda g: F.struct(
+                    d.alias("db_id"), F.get(g, F.lit(0)).t.alias("tag"), F.array_max(F.transform(g, lambda x: x.e)).alias("etag")
+                )
+            )
+        )
+    )
     return rows.select(row_id, F.explode(each).alias("x")).select(row_id, "x.*")
 
 
@@ -165,7 +228,11 @@ def potential_unused_ids(rows: DataFrame, explicit: Iterable[str] = ()) -> DataF
 
     The current id of a node is the one most often written under the node's alias as tag (the least of equally frequent
     ones)."""
-    parts = rows.select(F.col("from_node"), F.explode(segments(F.col("change_vector"), explicit)).alias("x")).groupBy(F.col("x.d").alias("db_id"), F.col("x.t").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    parts = rows.select(
+        F.col("from_node"), F.explode(segments(F.col("change_vector"), explicit)).alias("x")
+    ).groupBy(F.col("x.d").alias("db_id"), F.col("x.t").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
     nodes = rows.select(F.col("from_node").alias("tag")).distinct()
-    current = parts.join(nodes, "tag", "left_semi").groupBy("tag").agg(F.min(F.struct((-F.col("n")).alias("n"), "db_id")).alias("w")).select(F.col("w.db_id").alias("db_id"))
+    current = parts.join(nodes, "tag", "left_semi").groupBy("tag").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), "db_id")).alias("w")
+    ).select(F.col("w.db_id").alias("db_id"))
     return parts.groupBy("db_id").agg(F.sum("n").alias("n")).join(current, "db_id", "left_anti")

@@ -24,10 +24,22 @@ def snapshot_numbers(rows: DataFrame, owner: Column, snapshot: Column) -> DataFr
     few enough in any use to be broadcast, which is checked."""
     names = rows.select(owner.alias("owner"), snapshot.alias("snapshot")).distinct()
     by = W.partitionBy("owner")
-    return small(names.select("owner", "snapshot", F.row_number().over(by.orderBy("snapshot")).alias("i"), F.count(F.lit(1)).over(by).alias("n_snapshots")))
+    return small(
+        names.select(
+            "owner", "snapshot", F.row_number().over(by.orderBy("snapshot")).alias("i"), F.count(F.lit(1)).over(by).alias("n_snapshots")
+        )
+    )
 
 
-def validity_intervals(rows: DataFrame, owner: Column, snapshot: Column, key: Column, content: Sequence[Column], rank: Sequence[Column], numbers: DataFrame | None = None) -> DataFrame:
+def validity_intervals(
+    rows: DataFrame,
+    owner: Column,
+    snapshot: Column,
+    key: Column,
+    content: Sequence[Column],
+    rank: Sequence[Column],
+    numbers: DataFrame | None = None,
+) -> DataFrame:
     """One row for each interval: ``owner``, ``key``, ``first`` and ``last`` (positions among the owner's snapshots, from 1),
     ``row_hash``, and ``n_snapshots`` of the owner.
 
@@ -38,24 +50,54 @@ def validity_intervals(rows: DataFrame, owner: Column, snapshot: Column, key: Co
     from every value. An empty table gives no intervals."""
     numbers = snapshot_numbers(rows, owner, snapshot) if numbers is None else numbers
     whole = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")) for c in content])
-    plain = rows.select(owner.alias("owner"), snapshot.alias("snapshot"), key.alias("key"), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"), F.md5(whole).alias("row_hash"))
+    plain = rows.select(
+        owner.alias("owner"),
+        snapshot.alias("snapshot"),
+        key.alias("key"),
+        F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)]).alias("rank"),
+        F.md5(whole).alias("row_hash"),
+    )
     one = plain.where(F.col("key").isNotNull()).groupBy("owner", "snapshot", "key").agg(F.max(F.struct("rank", "row_hash")).alias("w"))
-    at = one.alias("o").join(numbers.alias("n"), F.col("o.owner").eqNullSafe(F.col("n.owner")) & F.col("o.snapshot").eqNullSafe(F.col("n.snapshot"))).select("o.owner", "o.key", F.col("w.row_hash").alias("row_hash"), "i", "n_snapshots")
+    at = one.alias("o").join(
+        numbers.alias("n"), F.col("o.owner").eqNullSafe(F.col("n.owner")) & F.col("o.snapshot").eqNullSafe(F.col("n.snapshot"))
+    ).select("o.owner", "o.key", F.col("w.row_hash").alias("row_hash"), "i", "n_snapshots")
     same = W.partitionBy("owner", "key").orderBy("i")
     starts = ~(F.lag("row_hash").over(same).eqNullSafe(F.col("row_hash")) & F.lag("i").over(same).eqNullSafe(F.col("i") - 1))
     islands = at.withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(same))
-    return islands.groupBy("owner", "key", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.any_value("row_hash").alias("row_hash"), F.any_value("n_snapshots").alias("n_snapshots")).drop("island")
+    return islands.groupBy("owner", "key", "island").agg(
+        F.min("i").alias("first"),
+        F.max("i").alias("last"),
+        F.any_value("row_hash").alias("row_hash"),
+        F.any_value("n_snapshots").alias("n_snapshots"),
+    ).drop("island")
 
 
-def snapshot_changes(rows: DataFrame, owner: Column, snapshot: Column, key: Column, content: Sequence[Column], rank: Sequence[Column]) -> DataFrame:
+def snapshot_changes(
+    rows: DataFrame, owner: Column, snapshot: Column, key: Column, content: Sequence[Column], rank: Sequence[Column]
+) -> DataFrame:
     """``owner``, ``snapshot`` (the later of the two), ``key`` and ``change``: added, removed or changed.
 
     Parameters and cases as in :func:`validity_intervals`. The first snapshot of an owner changes nothing."""
     numbers = snapshot_numbers(rows, owner, snapshot)
     spans = validity_intervals(rows, owner, snapshot, key, content, rank, numbers)
     by = W.partitionBy("owner", "key").orderBy("first")
-    met = spans.select("owner", "key", "first", "last", "n_snapshots", (F.lag("last").over(by) == F.col("first") - 1).alias("follows"), (F.lead("first").over(by) == F.col("last") + 1).alias("goes_on"))
-    start = F.when(F.col("first") > 1, F.struct(F.col("first").alias("i"), F.when(F.col("follows"), "changed").otherwise("added").alias("change")))
-    end = F.when((F.col("last") < F.col("n_snapshots")) & ~F.coalesce("goes_on", F.lit(False)), F.struct((F.col("last") + 1).alias("i"), F.lit("removed").alias("change")))
+    met = spans.select(
+        "owner",
+        "key",
+        "first",
+        "last",
+        "n_snapshots",
+        (F.lag("last").over(by) == F.col("first") - 1).alias("follows"),
+        (F.lead("first").over(by) == F.col("last") + 1).alias("goes_on"),
+    )
+    start = F.when(
+        F.col("first") > 1, F.struct(F.col("first").alias("i"), F.when(F.col("follows"), "changed").otherwise("added").alias("change"))
+    )
+    end = F.when(
+        (F.col("last") < F.col("n_snapshots")) & ~F.coalesce("goes_on", F.lit(False)),
+        F.struct((F.col("last") + 1).alias("i"), F.lit("removed").alias("change")),
+    )
     events = met.select("owner", "key", F.explode(F.array_compact(F.array(start, end))).alias("e")).select("owner", "key", "e.*")
-    return events.alias("e").join(numbers.alias("n"), F.col("e.owner").eqNullSafe(F.col("n.owner")) & (F.col("e.i") == F.col("n.i"))).select("e.owner", "n.snapshot", "e.key", "e.change")
+    return events.alias("e").join(
+        numbers.alias("n"), F.col("e.owner").eqNullSafe(F.col("n.owner")) & (F.col("e.i") == F.col("n.i"))
+    ).select("e.owner", "n.snapshot", "e.key", "e.change")

@@ -18,7 +18,9 @@ def manual_review(mismatches: DataFrame) -> DataFrame:
     held = F.filter("observed_state", lambda s: s.present)
     vectors = F.array_distinct(F.filter(F.transform(held, lambda s: s.change_vector), lambda v: ~blank(v)))
     return mismatches.where(F.col("mismatch_type") == fixed.AMBIGUOUS_CV).select(
-        *OVERVIEW, F.array_join(F.sort_array(F.transform(held, lambda s: s.node_url)), ",").alias("present_nodes"), F.coalesce(F.size(held), F.lit(0)).alias("n_present"), F.array_join(F.sort_array(vectors), " | ").alias("vectors"), F.coalesce(F.size(vectors), F.lit(0)).alias("n_vectors")
+        *OVERVIEW, F.array_join(
+            F.sort_array(F.transform(held, lambda s: s.node_url)), ","
+        ).alias("present_nodes"), F.coalesce(F.size(held), F.lit(0)).alias("n_present"), F.array_join(F.sort_array(vectors), " | ").alias("vectors"), F.coalesce(F.size(vectors), F.lit(0)).alias("n_vectors")
     )
 
 
@@ -28,13 +30,24 @@ def by_decision(mismatches: DataFrame, wanted: str) -> DataFrame:
 
 
 def unhealthy(mismatches: DataFrame) -> DataFrame:
-    return mismatches.select(*OVERVIEW, "winner_node", effective_decision().alias("decision"), F.size(F.filter("observed_state", lambda s: ~s.present)).alias("n_missing"))
+    return mismatches.select(
+        *OVERVIEW,
+        "winner_node",
+        effective_decision().alias("decision"),
+        F.size(F.filter("observed_state", lambda s: ~s.present)).alias("n_missing"),
+    )
 
 
 def run_overview(mismatches: DataFrame) -> DataFrame:
     """Counts for each run, with the share of the most frequent type: combined on the map side."""
     kinds = [fixed.MISSING, fixed.CV_MISMATCH, fixed.AMBIGUOUS_CV, fixed.COLLECTION_MISMATCH]
-    return mismatches.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.upper("document_id")).alias("n_documents"), *[F.count_if(F.col("mismatch_type") == k).alias(k.lower()) for k in kinds], F.min("detected_at").alias("first_detected"), F.max("detected_at").alias("last_detected"))
+    return mismatches.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.countDistinct(F.upper("document_id")).alias("n_documents"),
+        *[F.count_if(F.col("mismatch_type") == k).alias(k.lower()) for k in kinds],
+        F.min("detected_at").alias("first_detected"),
+        F.max("detected_at").alias("last_detected"),
+    )
 
 
 def scan_ranges(runs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -43,7 +56,9 @@ def scan_ranges(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     by_node = W.partitionBy("source_node_index").orderBy("started_at", "run_id")
     start = F.coalesce(F.lag("safe_restart_etag").over(by_node), F.lit(0))
     scans = runs.where(F.col("run_mode") == "LiveETagScan").withColumn("start_etag", start)
-    return scans.join(names, F.col("source_node_index") == F.col("_i"), "left").select("run_id", "source_node", "start_etag", (F.col("safe_restart_etag") - 1).alias("end_etag"))
+    return scans.join(names, F.col("source_node_index") == F.col("_i"), "left").select(
+        "run_id", "source_node", "start_etag", (F.col("safe_restart_etag") - 1).alias("end_etag")
+    )
 
 
 def recency() -> Column:
@@ -54,14 +69,23 @@ def recency() -> Column:
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The latest run of each mode and source node."""
     order = W.partitionBy("run_mode", "source_node_index").orderBy(recency().desc(), F.col("started_at").desc(), F.col("run_id").desc())
-    return runs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("run_mode", "source_node_index", "run_id", "is_complete", "safe_restart_etag")
+    return runs.withColumn("rn", F.row_number().over(order)).where("rn = 1").select(
+        "run_mode", "source_node_index", "run_id", "is_complete", "safe_restart_etag"
+    )
 
 
 def run_lineage(runs: DataFrame) -> DataFrame:
     """Applying runs with the scan they apply and the latest snapshot before it."""
-    scans = runs.select(F.col("run_id").alias("scan_id"), F.col("run_mode").alias("scan_run_mode"), F.col("repairs_planned").alias("planned"), F.coalesce("source_snapshot_cache_run_id", "source_snapshot_run_id").alias("snapshot_run_id"))
+    scans = runs.select(
+        F.col("run_id").alias("scan_id"),
+        F.col("run_mode").alias("scan_run_mode"),
+        F.col("repairs_planned").alias("planned"),
+        F.coalesce("source_snapshot_cache_run_id", "source_snapshot_run_id").alias("snapshot_run_id"),
+    )
     applied = runs.where(F.col("run_mode") == "ApplyRepairPlan")
-    return applied.join(scans, F.col("source_repair_plan_run_id") == F.col("scan_id"), "left").select("run_id", "is_complete", "scan_id", "scan_run_mode", "planned", "snapshot_run_id")
+    return applied.join(scans, F.col("source_repair_plan_run_id") == F.col("scan_id"), "left").select(
+        "run_id", "is_complete", "scan_id", "scan_run_mode", "planned", "snapshot_run_id"
+    )
 
 
 def run_heads(runs: DataFrame) -> DataFrame:
@@ -70,6 +94,17 @@ def run_heads(runs: DataFrame) -> DataFrame:
     done = F.col("is_complete")
     none = F.lit(None).cast("bigint")
     folded = runs.groupBy("run_mode").agg(
-        F.count(F.lit(1)).alias("n_runs"), F.max(at(none)).alias("l"), F.max(F.when(done, at(F.col("safe_restart_etag")))).alias("c"), F.max(F.when(~done, at(none))).alias("o"), F.sum("mismatches_found").alias("mismatches_found"), F.coalesce(F.min("safe_restart_etag"), F.lit(0)).alias("safe_restart_etag")
+        F.count(F.lit(1)).alias("n_runs"), F.max(at(none)).alias("l"), F.max(
+            F.when(done, at(F.col("safe_restart_etag")))
+        ).alias("c"), F.max(F.when(~done, at(none))).alias("o"), F.sum("mismatches_found").alias("mismatches_found"), F.coalesce(F.min("safe_restart_etag"), F.lit(0)).alias("safe_restart_etag")
+    )
+    return folded.select(
+        "run_mode",
+        "n_runs",
+        F.col("l.run_id").alias("latest_run"),
+        F.col("c.run_id").alias("latest_complete"),
+        F.col("c.x").alias("complete_etag"),
+        F.col("o.run_id").alias("latest_open"),
+        "mismatches_found",
+        "safe_restart_etag",
     )
-    return folded.select("run_mode", "n_runs", F.col("l.run_id").alias("latest_run"), F.col("c.run_id").alias("latest_complete"), F.col("c.x").alias("complete_etag"), F.col("o.run_id").alias("latest_open"), "mismatches_found", "safe_restart_etag")

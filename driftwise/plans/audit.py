@@ -137,24 +137,35 @@ def potential_unused_ids(spark, folder):
   ELSE original_document_id || '/' || from_node END AS snapshot_id, upper(id) = upper(snapshot_id) AS as_delivered, coalesce(change_vector, '') AS change_vector FROM node_document_snapshots""")
 def snapshot_rows(spark, folder):
     rows = _rows(spark, folder).withColumn("snapshot_id", replicas.physical_id(F.col("original_document_id"), F.col("from_node")))
-    return rows.select("delivery_id", "snapshot_id", (key(F.col("id")) == key(F.col("snapshot_id"))).alias("as_delivered"), F.coalesce("change_vector", F.lit("")).alias("change_vector"))
+    return rows.select(
+        "delivery_id",
+        "snapshot_id",
+        (key(F.col("id")) == key(F.col("snapshot_id"))).alias("as_delivered"),
+        F.coalesce("change_vector", F.lit("")).alias("change_vector"),
+    )
 
 
 @query(r"""SELECT DISTINCT original_document_id AS document_id, concat_ws(',', CASE WHEN contains(original_document_id, '\') THEN 'ContainsBackslash' END,
   CASE WHEN regexp_matches(original_document_id, '[\x00-\x1f]') THEN 'ContainsControlCharacter' END) AS reason FROM node_document_snapshots WHERE regexp_matches(original_document_id, '[\\\x00-\x1f]')""")
 def unsafe_ids(spark, folder):
     ids = F.col("original_document_id")
-    return _rows(spark, folder).where(replicas.has_unsafe_characters(ids)).select(ids.alias("document_id"), replicas.unsafe_reason(ids).alias("reason")).distinct()
+    return _rows(spark, folder).where(replicas.has_unsafe_characters(ids)).select(
+        ids.alias("document_id"), replicas.unsafe_reason(ids).alias("reason")
+    ).distinct()
 
 
 @query("SELECT from_node, count(*) AS n_rows, count(DISTINCT upper(id)) AS n_ids FROM node_document_snapshots GROUP BY 1")
 def node_row_counts(spark, folder):
-    return _rows(spark, folder).groupBy("from_node").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key(F.col("id"))).alias("n_ids"))
+    return _rows(spark, folder).groupBy("from_node").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key(F.col("id"))).alias("n_ids")
+    )
 
 
 @query(ALIGNED + " SELECT document_key, node, present, c AS collection, cv AS change_vector, lm AS last_modified FROM grid")
 def replica_alignment(spark, folder):
-    return replicas.alignment_rows(_aligned(spark, folder)).select("document_key", "node", "present", "collection", "change_vector", "last_modified")
+    return replicas.alignment_rows(_aligned(spark, folder)).select(
+        "document_key", "node", "present", "collection", "change_vector", "last_modified"
+    )
 
 
 @query(ALIGNED + " SELECT document_key, node, present, c AS collection, cv AS change_vector FROM grid WHERE document_key IN (SELECT document_key FROM held WHERE from_node = 'A')")
@@ -168,7 +179,11 @@ LATEST = """WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 
 
 def _latest(spark, folder):
-    return replicas.latest(_rows(spark, folder), [key(F.col("id"))], ["delivery_id", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified"])
+    return replicas.latest(
+        _rows(spark, folder),
+        [key(F.col("id"))],
+        ["delivery_id", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified"],
+    )
 
 
 @query(LATEST + " SELECT delivery_id, id, original_document_id, from_node, change_vector, collection, last_modified FROM l")
@@ -235,7 +250,9 @@ def repair_plan_items(spark, folder):
 @query(EVALUATED + f" SELECT document_key, mismatch_type FROM decided WHERE decision = 'PatchPlannedDryRun' AND document_key NOT IN (SELECT upper(document_id) FROM mismatches WHERE {EFFECTIVE} = 'PatchPlannedDryRun' AND document_id IS NOT NULL)")
 def guard_anti_join(spark, folder):
     guards = _mismatches(spark, folder).where(planning.effective_decision() == planning.PLANNED)
-    return planning.without(_planned(spark, folder).select("document_key", "mismatch_type"), F.col("document_key"), guards, key(F.col("document_id")))
+    return planning.without(
+        _planned(spark, folder).select("document_key", "mismatch_type"), F.col("document_key"), guards, key(F.col("document_id"))
+    )
 
 
 @query(EVALUATED + f" SELECT document_key FROM decided WHERE decision = 'PatchPlannedDryRun' AND document_key IN (SELECT upper(document_id) FROM mismatches WHERE {EFFECTIVE} = 'PatchPlannedDryRun')")
@@ -248,7 +265,9 @@ def guard_overlap(spark, folder):
 def exclude_repaired(spark, folder):
     rows = _mismatches(spark, folder)
     done = rows.where(planning.effective_decision() == "PatchCompletedOnWinner")
-    return planning.without(rows.select(key(F.col("document_id")).alias("document_key")), F.col("document_key"), done, key(F.col("document_id"))).distinct()
+    return planning.without(
+        rows.select(key(F.col("document_id")).alias("document_key")), F.col("document_key"), done, key(F.col("document_id"))
+    ).distinct()
 
 
 @query(
@@ -257,8 +276,20 @@ def exclude_repaired(spark, folder):
   JOIN grid w ON w.document_key = f.document_key AND w.node_url = f.winner_node JOIN grid t ON t.document_key = f.document_key AND t.node <> w.node"""
 )
 def pairwise_mismatch_rows(spark, folder):
-    found = _evaluated(spark, folder).where(F.col("winner_node").isNotNull()).select("document_key", "mismatch_type", F.get(F.filter("states", lambda s: s.node_url == F.col("winner_node")), F.lit(0)).alias("w"), F.explode("states").alias("t"))
-    return found.where(F.col("t.node") != F.col("w.node")).select("document_key", "mismatch_type", F.col("w.node").alias("source_node"), F.col("t.node").alias("target_node"), F.col("w.change_vector").alias("source_cv"), F.col("t.change_vector").alias("target_cv"))
+    found = _evaluated(spark, folder).where(F.col("winner_node").isNotNull()).select(
+        "document_key",
+        "mismatch_type",
+        F.get(F.filter("states", lambda s: s.node_url == F.col("winner_node")), F.lit(0)).alias("w"),
+        F.explode("states").alias("t"),
+    )
+    return found.where(F.col("t.node") != F.col("w.node")).select(
+        "document_key",
+        "mismatch_type",
+        F.col("w.node").alias("source_node"),
+        F.col("t.node").alias("target_node"),
+        F.col("w.change_vector").alias("source_cv"),
+        F.col("t.change_vector").alias("target_cv"),
+    )
 
 
 @query(
@@ -268,7 +299,11 @@ SELECT coalesce(node, 'all') AS node, count(*) AS n_mismatches, count(*) FILTER
 )
 def cluster_rollup(spark, folder):
     rows = _evaluated(spark, folder).select("winner_node", F.explode("states").alias("s"))
-    counted = rows.rollup(F.col("s.node").alias("node")).agg(F.count(F.lit(1)).alias("n_mismatches"), F.count_if(~F.col("s.present")).alias("n_missing"), F.count_if(F.col("winner_node") == F.col("s.node_url")).alias("n_wins"))
+    counted = rows.rollup(F.col("s.node").alias("node")).agg(
+        F.count(F.lit(1)).alias("n_mismatches"),
+        F.count_if(~F.col("s.present")).alias("n_missing"),
+        F.count_if(F.col("winner_node") == F.col("s.node_url")).alias("n_wins"),
+    )
     return counted.withColumn("node", F.coalesce("node", F.lit("all")))
 
 
@@ -328,7 +363,9 @@ def preferred_mismatch(spark, folder):
 
 @query(f"SELECT {EFFECTIVE} AS decision, mismatch_type, count(*) AS n FROM mismatches GROUP BY 1, 2")
 def decision_counts(spark, folder):
-    return _mismatches(spark, folder).groupBy(planning.effective_decision().alias("decision"), "mismatch_type").agg(F.count(F.lit(1)).alias("n"))
+    return _mismatches(spark, folder).groupBy(
+        planning.effective_decision().alias("decision"), "mismatch_type"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -337,8 +374,12 @@ x AS (SELECT s.node_url AS node_url, s.present AS present, count(*) AS n, count(
 )
 def observed_states(spark, folder):
     """States of the mismatches that were delivered once, by node."""
-    once = _mismatches(spark, folder).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.any_value("observed_state").alias("o")).where("n = 1").select(F.explode("o").alias("s"))
-    return once.groupBy("s.node_url", "s.present").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key(F.col("s.collection"))).alias("n_collections"))
+    once = _mismatches(spark, folder).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.any_value("observed_state").alias("o")
+    ).where("n = 1").select(F.explode("o").alias("s"))
+    return once.groupBy("s.node_url", "s.present").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(key(F.col("s.collection"))).alias("n_collections")
+    )
 
 
 @query(
@@ -349,21 +390,31 @@ SELECT upper(p.document_id) AS document_key, CASE WHEN f.document_key IS NULL TH
 )
 def revalidate_mismatches(spark, folder):
     """The last mismatch of each document against what the snapshots say now."""
-    last = _mismatches(spark, folder).where(F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("document_key")).agg(F.max(F.struct("detected_at", "run_id", "id", "winner_cv", "mismatch_type", "winner_node")).alias("p"))
-    now = _evaluated(spark, folder).select(F.col("document_key").alias("k"), F.struct("mismatch_type", "winner_node", "winner_cv").alias("f"))
-    same = (F.col("f.mismatch_type") == F.col("p.mismatch_type")) & F.col("f.winner_node").eqNullSafe(F.col("p.winner_node")) & (normalize(F.col("f.winner_cv")) == normalize(F.col("p.winner_cv")))
+    last = _mismatches(spark, folder).where(F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("document_key")).agg(
+        F.max(F.struct("detected_at", "run_id", "id", "winner_cv", "mismatch_type", "winner_node")).alias("p")
+    )
+    now = _evaluated(spark, folder).select(
+        F.col("document_key").alias("k"), F.struct("mismatch_type", "winner_node", "winner_cv").alias("f")
+    )
+    same = (F.col("f.mismatch_type") == F.col("p.mismatch_type")) & F.col("f.winner_node").eqNullSafe(F.col("p.winner_node")) & (
+        normalize(F.col("f.winner_cv")) == normalize(F.col("p.winner_cv"))
+    )
     outcome = F.when(F.col("k").isNull(), "ConsistentNow").when(same, "Unchanged").otherwise("ChangedStillInconsistent")
     return last.join(now, F.col("document_key") == F.col("k"), "left").select("document_key", outcome.alias("outcome"))
 
 
 @query(f"""SELECT DISTINCT collection, 'from "' || replace(collection, '"', '""') || '" where id() in ($ids) update {{ put(id(this), this); }}' AS statement FROM mismatches WHERE {present("collection")}""")
 def patch_statement(spark, folder):
-    return _mismatches(spark, folder).where(~blank(F.col("collection"))).select("collection", touch_statement(F.col("collection")).alias("statement")).distinct()
+    return _mismatches(spark, folder).where(~blank(F.col("collection"))).select(
+        "collection", touch_statement(F.col("collection")).alias("statement")
+    ).distinct()
 
 
 @query("""SELECT id, document_id || ',' || coalesce(CASE WHEN regexp_matches(winner_cv, '[,"\r\n]') THEN '"' || replace(winner_cv, '"', '""') || '"' ELSE winner_cv END, '') || ',' || strftime(detected_at, '%Y-%m-%dT%H:%M:%S.%f') || '0Z' AS line FROM mismatches""")
 def csv_lines(spark, folder):
-    return _mismatches(spark, folder).select("id", F.concat("document_id", F.lit(","), csv_field(F.col("winner_cv")), F.lit(","), iso_text(F.col("detected_at"))).alias("line"))
+    return _mismatches(spark, folder).select(
+        "id", F.concat("document_id", F.lit(","), csv_field(F.col("winner_cv")), F.lit(","), iso_text(F.col("detected_at"))).alias("line")
+    )
 
 
 # runs
@@ -427,7 +478,9 @@ def etag_page_filter(spark, folder):
 
 
 def _live(spark, folder):
-    return _items(spark, folder).where(is_live_document(F.col("item_type"), F.col("flags")) & ~blank(F.col("id")) & F.col("etag").isNotNull())
+    return _items(spark, folder).where(
+        is_live_document(F.col("item_type"), F.col("flags")) & ~blank(F.col("id")) & F.col("etag").isNotNull()
+    )
 
 
 @query(f"""SELECT node_url, page_no, document_key, e AS etag, feed_seq FROM (SELECT *, upper(id) AS document_key, {ETAG} AS e FROM iteration_items WHERE {LIVE} AND {present("id")}) WHERE e IS NOT NULL
@@ -438,14 +491,22 @@ def etag_first_seen(spark, folder):
 
 @query(f"""SELECT node_url, hash, left(hash, 4) AS prefix, count(*) AS n FROM (SELECT node_url, upper(sha256(upper(id) || chr(10) || {cv_norm("change_vector")})) AS hash FROM iteration_items WHERE {LIVE} AND {present("id")} AND {ETAG} IS NOT NULL) GROUP BY 1, 2, 3""")
 def version_dedup(spark, folder):
-    hashed = _live(spark, folder).select("node_url", replicas.version_hash(key(F.col("id")), normalize(F.col("change_vector"))).alias("hash"))
+    hashed = _live(spark, folder).select(
+        "node_url", replicas.version_hash(key(F.col("id")), normalize(F.col("change_vector"))).alias("hash")
+    )
     return hashed.groupBy("node_url", "hash", F.substring("hash", 1, 4).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT node_url, max({ETAG}) + 1 AS next_etag, count(*) AS n_items, count(*) FILTER ({LIVE}) AS n_live, min({ETAG}) AS first_etag, count(DISTINCT page_no) AS n_pages FROM iteration_items GROUP BY 1")
 def safe_restart_etag(spark, folder):
     """Where each node's feed is to be read on: skipped items count too."""
-    return _items(spark, folder).groupBy("node_url").agg((F.max("etag") + 1).alias("next_etag"), F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(F.col("item_type"), F.col("flags"))).alias("n_live"), F.min("etag").alias("first_etag"), F.countDistinct("page_no").alias("n_pages"))
+    return _items(spark, folder).groupBy("node_url").agg(
+        (F.max("etag") + 1).alias("next_etag"),
+        F.count(F.lit(1)).alias("n_items"),
+        F.count_if(is_live_document(F.col("item_type"), F.col("flags"))).alias("n_live"),
+        F.min("etag").alias("first_etag"),
+        F.countDistinct("page_no").alias("n_pages"),
+    )
 
 
 @query(r"""WITH t AS (SELECT feed_seq, regexp_replace(trim(last_modified), '(\.\d{6})\d*', '\1') AS x FROM iteration_items)
@@ -461,7 +522,13 @@ def stream_live_scan(spark, folder):
     path, at = scratch(spark, "live-versions"), scratch(spark, "live-cursor")
     source = f"{folder}/iteration_items.parquet"
     single = os.path.isfile(source)  # a stream reads folders: a single file is matched by a pattern
-    run_to_end(live_versions(read_feed(spark, f"{folder}/iteration_item[s].parquet" if single else source, whole.schema)).select("node_url", "document_key", "version"), path, at)
+    run_to_end(
+        live_versions(
+            read_feed(spark, f"{folder}/iteration_item[s].parquet" if single else source, whole.schema)
+        ).select("node_url", "document_key", "version"),
+        path,
+        at,
+    )
     return spark.read.parquet(path)
 
 
@@ -473,7 +540,12 @@ def exclude_skipped(spark, folder):
     """Mismatches of documents that no import had to skip for their id."""
     rows = _rows(spark, folder)
     skipped = rows.where(replicas.has_unsafe_characters(F.col("original_document_id")))
-    return planning.without(_evaluated(spark, folder).select("document_key", "mismatch_type"), F.col("document_key"), skipped, key(F.col("original_document_id")))
+    return planning.without(
+        _evaluated(spark, folder).select("document_key", "mismatch_type"),
+        F.col("document_key"),
+        skipped,
+        key(F.col("original_document_id")),
+    )
 
 
 @query(
@@ -490,7 +562,9 @@ def candidate_page(spark, folder):
 def coverage_union(spark, folder):
     """What passes over one node after the other see: each document at the first node that has it, and how many have it."""
     held = F.filter("states", lambda s: s.present)
-    return _aligned(spark, folder).select("document_key", F.array_min(F.transform(held, lambda s: s.node_idx)).alias("first_node"), F.size(held).alias("n_nodes"))
+    return _aligned(spark, folder).select(
+        "document_key", F.array_min(F.transform(held, lambda s: s.node_idx)).alias("first_node"), F.size(held).alias("n_nodes")
+    )
 
 
 DONE = f"""done AS (SELECT upper(document_id) AS k, {EFFECTIVE} AS outcome FROM mismatches WHERE {present("current_repair_decision")} AND document_id IS NOT NULL
@@ -501,9 +575,13 @@ DONE = f"""done AS (SELECT upper(document_id) AS k, {EFFECTIVE} AS outcome FROM
 def decision_writeback(spark, folder):
     """Each mismatch with the last outcome of its document where it has none of its own."""
     rows = _mismatches(spark, folder)
-    done = rows.where(~blank(F.col("current_repair_decision")) & F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("k")).agg(F.max(F.struct("last_repair_updated_at", "detected_at", "current_repair_decision")).alias("w"))
+    done = rows.where(~blank(F.col("current_repair_decision")) & F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("k")).agg(
+        F.max(F.struct("last_repair_updated_at", "detected_at", "current_repair_decision")).alias("w")
+    )
     joined = rows.withColumn("_key", key(F.col("document_id"))).join(done, F.col("_key") == F.col("k"), "left")
-    own = F.when(blank(F.col("current_repair_decision")), F.coalesce("w.current_repair_decision", "repair_decision")).otherwise(F.col("current_repair_decision"))
+    own = F.when(
+        blank(F.col("current_repair_decision")), F.coalesce("w.current_repair_decision", "repair_decision")
+    ).otherwise(F.col("current_repair_decision"))
     return joined.select("id", "run_id", own.alias("decision"))
 
 
@@ -522,10 +600,14 @@ def observed_state_match(spark, folder):
     """Whether what was observed with the last mismatch of each document is still so on every configured node: presence,
     collection (ignoring case) and normalised vector."""
     nodes = _nodes(spark, folder)
-    last = _mismatches(spark, folder).where(F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("document_key")).agg(F.max(F.struct("detected_at", "run_id", "id", "observed_state")).alias("w")).select("document_key", F.col("w.observed_state").alias("o"))
+    last = _mismatches(spark, folder).where(F.col("document_id").isNotNull()).groupBy(key(F.col("document_id")).alias("document_key")).agg(
+        F.max(F.struct("detected_at", "run_id", "id", "observed_state")).alias("w")
+    ).select("document_key", F.col("w.observed_state").alias("o"))
     now = _aligned(spark, folder).select(F.col("document_key").alias("k"), "states")
     both = last.join(now, F.col("document_key") == F.col("k"), "left")
-    state = lambda s: F.when(s.present, F.concat_ws("|", key(F.coalesce(s.collection, F.lit(""))), normalize(s.change_vector)))
+    state = lambda s: F.when(
+        s.present, F.concat_ws("|", key(F.coalesce(s.collection, F.lit(""))), normalize(s.change_vector))
+    )
     of = lambda c, n: F.get(F.transform(F.filter(c, lambda s: key(s.node_url) == n.url.upper()), state), F.lit(0))
     same = F.lit(True)
     for n in nodes:
@@ -538,9 +620,17 @@ SELECT from_node, batch_no, n_rows, n_rows - lag(n_rows) OVER (PARTITION BY from
 def delivery_rates(spark, folder):
     """Rows of each node and delivery round, against the round before."""
     at = F.unix_micros(F.col("received_at").cast("timestamp"))
-    rounds = _rows(spark, folder).groupBy("from_node", "batch_no").agg(F.count(F.lit(1)).alias("n_rows"), ((F.max(at) - F.min(at)) / 1e6).alias("seconds"))
+    rounds = _rows(spark, folder).groupBy("from_node", "batch_no").agg(
+        F.count(F.lit(1)).alias("n_rows"), ((F.max(at) - F.min(at)) / 1e6).alias("seconds")
+    )
     change = F.col("n_rows") - F.lag("n_rows").over(W.partitionBy("from_node").orderBy("batch_no"))
-    return rounds.select("from_node", "batch_no", "n_rows", change.alias("change"), F.round(F.col("n_rows") / F.nullif(F.col("seconds"), F.lit(0.0)), 3).alias("rows_a_second"))
+    return rounds.select(
+        "from_node",
+        "batch_no",
+        "n_rows",
+        change.alias("change"),
+        F.round(F.col("n_rows") / F.nullif(F.col("seconds"), F.lit(0.0)), 3).alias("rows_a_second"),
+    )
 
 
 @query(f"""SELECT node_url, page_no, count(*) AS n_items, count(*) FILTER ({LIVE}) AS n_live, count(*) FILTER (coalesce(upper(trim(item_type)) <> 'DOCUMENT', true)) AS n_other_types,
@@ -551,15 +641,21 @@ def page_diagnostics(spark, folder):
     kind, flags = F.col("item_type"), F.col("flags")
     conflicted = F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == "CONFLICTED"), F.lit(False))
     return _items(spark, folder).groupBy("node_url", "page_no").agg(
-        F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(kind, flags)).alias("n_live"), F.count_if(F.coalesce(key(strip(kind)) != "DOCUMENT", F.lit(True))).alias("n_other_types"), F.count_if(conflicted).alias("n_conflicted"),
-        F.count_if(F.col("etag").isNull()).alias("n_unreadable"), F.min("etag").alias("first_etag"), F.max("etag").alias("last_etag"), (F.count(F.lit(1)) - F.countDistinct(F.coalesce(key(F.col("id")), F.lit("")))).alias("n_repeated"),
+        F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(kind, flags)).alias("n_live"), F.count_if(
+            F.coalesce(key(strip(kind)) != "DOCUMENT", F.lit(True))
+        ).alias("n_other_types"), F.count_if(conflicted).alias("n_conflicted"),
+        F.count_if(F.col("etag").isNull()).alias("n_unreadable"), F.min("etag").alias("first_etag"), F.max("etag").alias("last_etag"), (
+            F.count(F.lit(1)) - F.countDistinct(F.coalesce(key(F.col("id")), F.lit("")))
+        ).alias("n_repeated"),
     )
 
 
 @query("SELECT run_id, run_mode, is_complete, coalesce(last_saved_at, started_at) AS heard_at FROM runs ORDER BY heard_at DESC, started_at DESC, run_id DESC LIMIT 10")
 def recent_runs(spark, folder):
     """The ten runs heard of last; the limit is the feature."""
-    return table(spark, folder, "runs").orderBy(views.recency().desc(), F.col("started_at").desc(), F.col("run_id").desc()).limit(10).select("run_id", "run_mode", "is_complete", views.recency().alias("heard_at"))
+    return table(spark, folder, "runs").orderBy(
+        views.recency().desc(), F.col("started_at").desc(), F.col("run_id").desc()
+    ).limit(10).select("run_id", "run_mode", "is_complete", views.recency().alias("heard_at"))
 
 
 # the projection of orders onto three replicas (FIXTURES.md), whose outcome is known in advance
@@ -572,17 +668,26 @@ def projected_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """One document for each order on nodes A, B and C, with a deviation by order key modulo 20."""
     k = F.col("o_orderkey")
     r = F.col("r")
-    base = table(spark, folder, "orders").select(k, F.col("o_orderdate").cast("timestamp_ntz").alias("last_modified"), (k % 20).alias("r"), F.explode(F.array(*map(F.lit, "ABC"))).alias("from_node"))
+    base = table(spark, folder, "orders").select(
+        k,
+        F.col("o_orderdate").cast("timestamp_ntz").alias("last_modified"),
+        (k % 20).alias("r"),
+        F.explode(F.array(*map(F.lit, "ABC"))).alias("from_node"),
+    )
     on = lambda node: F.col("from_node") == node
     absent = ((r == 0) & on("C")) | ((r == 1) & on("A")) | ((r == 5) & on("C")) | ((r == 7) & on("B")) | ((r == 13) & on("C"))
     a = 100 + k + F.when((r == 2) & on("B"), -1).when(r.isin(4, 5) & on("A"), 1).when(r.isin(12, 13) & on("B"), -1).when((r == 12) & on("C"), -2).otherwise(0)
     b = 10 + k % 7 + F.when((r == 3) & on("A"), -1).when(r.isin(4, 5) & on("B"), 1).otherwise(0)
     c = 5 + k % 5
-    part = lambda tag, n, db: F.concat(tag if not isinstance(tag, str) else F.lit(tag), F.lit(":"), n.cast("string"), F.lit(f"-{db}"))
+    part = lambda tag, n, db: F.concat(
+        tag if not isinstance(tag, str) else F.lit(tag), F.lit(":"), n.cast("string"), F.lit(f"-{db}")
+    )
     first = F.when((r == 9) & on("B"), "RAFT").otherwise("A")
     plain = F.concat_ws(",", part(first, a, "dbA"), part("B", b, "dbB"), part("C", c, "dbC"))
     turned = F.concat_ws(", ", part("C", c, "dbC"), part("B", b, "dbB"), part("A", a, "dbA"))
-    more = F.when((r == 8) & on("A"), ",TRXN:3-dbOld1").when((r == 11) & on("B"), ",SINK:1-dbA").when((r == 16) & on("A"), ",bad,:3-x,Q:zz-dbQ").otherwise("")
+    more = F.when((r == 8) & on("A"), ",TRXN:3-dbOld1").when((r == 11) & on("B"), ",SINK:1-dbA").when(
+        (r == 16) & on("A"), ",bad,:3-x,Q:zz-dbQ"
+    ).otherwise("")
     vector = F.when((r == 17) & on("B"), None).when((r == 10) & on("C"), turned).otherwise(F.concat(plain, more))
     collection = F.when(r == 7, None).when((r == 6) & on("B"), "Invoices").when((r == 15) & on("C"), "ORDERS").otherwise("Orders")
     document = F.concat(F.when(r == 14, "orders\\").otherwise("orders/"), k.cast("string"))

@@ -32,7 +32,9 @@ def _grouped_mismatches(spark: SparkSession, folder: str) -> DataFrame:
 
 def repair_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows, replicas = _grouped_mismatches(spark, folder), table(spark, folder, "node_document_snapshots")
-    return aggregate_join(rows, replicas, key(F.col("document_id")), key(F.col("original_document_id")), {c: F.col(c) for c in ("collection", "winner_node")})
+    return aggregate_join(
+        rows, replicas, key(F.col("document_id")), key(F.col("original_document_id")), {c: F.col(c) for c in ("collection", "winner_node")}
+    )
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,7 +46,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p1_repair_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every group with its rows, its distinct documents, and the replica rows that its mismatches stand for."""
     groups = repair_groups(spark, folder)
-    return groups.select("collection", "winner_node", "n_rows", F.col("n_keys").alias("n_documents"), F.col("n_matched").alias("n_replica_rows"))
+    return groups.select(
+        "collection", "winner_node", "n_rows", F.col("n_keys").alias("n_documents"), F.col("n_matched").alias("n_replica_rows")
+    )
 
 
 P1_GROUPS_SQL = f"""
@@ -84,7 +88,9 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "node_document_snapshots")
-    return kept_snapshots(rows, rows).select("delivery_id", "batch_no", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified")
+    return kept_snapshots(rows, rows).select(
+        "delivery_id", "batch_no", "id", "original_document_id", "from_node", "change_vector", "collection", "last_modified"
+    )
 
 
 P4_RANKED = "SELECT *, row_number() OVER (PARTITION BY upper(id) ORDER BY last_modified DESC NULLS LAST, delivery_id) AS rn FROM node_document_snapshots"
@@ -111,14 +117,20 @@ def replica_differences(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     diff = replica_differences(spark, folder)
     # a surplus row of a document that the other node has too is no missing document
-    missing = F.when((F.col("side") == "left") & (F.col("n_right") == 0), F.array(F.lit("missing_on_b"))).when((F.col("side") == "right") & (F.col("n_left") == 0), F.array(F.lit("missing_on_a")))
+    missing = F.when(
+        (F.col("side") == "left") & (F.col("n_right") == 0), F.array(F.lit("missing_on_b"))
+    ).when((F.col("side") == "right") & (F.col("n_left") == 0), F.array(F.lit("missing_on_a")))
     return diff.select("document_key", F.explode(F.coalesce(missing, "differing")).alias("difference")).distinct()
 
 
 def p2_differences(spark: SparkSession, folder: str) -> DataFrame:
     """Each leftover row or pair of nodes A and B with the values on either side, field by field."""
     diff = replica_differences(spark, folder)
-    values = [F.col(side)[c].alias(f"{c}_{node}") for c in ("change_vector", "collection", "last_modified") for side, node in (("l", "a"), ("r", "b"))]
+    values = [
+        F.col(side)[c].alias(f"{c}_{node}") for c in (
+            "change_vector", "collection", "last_modified"
+        ) for side, node in (("l", "a"), ("r", "b"))
+    ]
     return diff.select("document_key", "side", F.array_join("differing", ",").alias("differing"), "pairing", *values)
 
 
@@ -155,14 +167,21 @@ def feed_effect(item_type: Column, flags: Column) -> Column:
     kind = key(strip(item_type))
     has = lambda flag: F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == flag), F.lit(False))
     document = kind == fixed.DOCUMENT
-    return F.when(document & ~has(fixed.CONFLICTED) & ~has(fixed.DELETE_REVISION), "put").when((document & ~has(fixed.CONFLICTED)) | (kind == fixed.TOMBSTONE), "delete")
+    return F.when(document & ~has(fixed.CONFLICTED) & ~has(fixed.DELETE_REVISION), "put").when(
+        (document & ~has(fixed.CONFLICTED)) | (kind == fixed.TOMBSTONE), "delete"
+    )
 
 
 def feed_entries(items: DataFrame) -> DataFrame:
     """The puts and deletes of a page feed, for an equality-delete table: ``kind``, node_url, document_key and etag. Items
     without id, vector, type or readable etag have no effect, nor have items of other types."""
     usable = items.where(~blank(F.col("id")) & ~blank(F.col("change_vector")) & ~blank(F.col("item_type")))
-    entries = usable.select(feed_effect(F.col("item_type"), F.col("flags")).alias("kind"), "node_url", key(F.col("id")).alias("document_key"), parse_long(F.col("etag")).alias("etag"))
+    entries = usable.select(
+        feed_effect(F.col("item_type"), F.col("flags")).alias("kind"),
+        "node_url",
+        key(F.col("id")).alias("document_key"),
+        parse_long(F.col("etag")).alias("etag"),
+    )
     return entries.where(F.col("kind").isNotNull() & F.col("etag").isNotNull())
 
 
@@ -198,13 +217,20 @@ def _snapshot_terms() -> dict:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     changes = snapshot_changes(table(spark, folder, "snapshot_cache_rows"), **_snapshot_terms())
-    return changes.select(F.col("snapshot").alias("run_id"), F.col("owner").alias("from_node"), F.col("key").alias("document_key"), "change")
+    return changes.select(
+        F.col("snapshot").alias("run_id"), F.col("owner").alias("from_node"), F.col("key").alias("document_key"), "change"
+    )
 
 
 def p5_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """The intervals of snapshots, by position among the node's, in which a document was held unchanged."""
     spans = validity_intervals(table(spark, folder, "snapshot_cache_rows"), **_snapshot_terms())
-    return spans.select(F.col("owner").alias("from_node"), F.col("key").alias("document_key"), F.col("first").alias("first_snapshot"), F.col("last").alias("last_snapshot"))
+    return spans.select(
+        F.col("owner").alias("from_node"),
+        F.col("key").alias("document_key"),
+        F.col("first").alias("first_snapshot"),
+        F.col("last").alias("last_snapshot"),
+    )
 
 
 P5_ROWS = f"""

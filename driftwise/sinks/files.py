@@ -11,13 +11,20 @@ from driftwise.operators.replicas import has_unsafe_characters, unsafe_reason
 
 def write_cache(rows: DataFrame, path: str, rows_a_segment: int = 8192) -> None:
     """Rows ``id, cv, c, lm`` as gzip segments of JSON lines, each of at most so many rows."""
-    rows.select("id", "cv", "c", iso_text(F.col("lm")).alias("lm")).write.mode("overwrite").option("maxRecordsPerFile", rows_a_segment).json(path, compression="gzip")
+    rows.select(
+        "id", "cv", "c", iso_text(F.col("lm")).alias("lm")
+    ).write.mode("overwrite").option("maxRecordsPerFile", rows_a_segment).json(path, compression="gzip")
 
 
 def manifest(cache: DataFrame) -> DataFrame:
     """Each segment of a cache with its rows, its first and last id, and a digest of its rows that doesn't depend on their
     order."""
-    return cache.groupBy("segment").agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.bit_xor(F.xxhash64("id", "cv", "c", "lm")).alias("digest"))
+    return cache.groupBy("segment").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+        F.bit_xor(F.xxhash64("id", "cv", "c", "lm")).alias("digest"),
+    )
 
 
 def write_csv(rows: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:

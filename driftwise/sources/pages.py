@@ -19,7 +19,12 @@ def parse_pages(pages: DataFrame, body: Column) -> DataFrame:
 
     Missing properties are null; an etag may be a number or text. Items without id or readable etag are left out; a page that
     is no JSON has no items."""
-    parsed = pages.select("*", F.posexplode(F.from_json(body, f"Results array<struct<{', '.join(x.replace(' ', ':') for x in ITEM.split(', '))}>>").Results).alias("position", "x"))
+    parsed = pages.select(
+        "*",
+        F.posexplode(
+            F.from_json(body, f"Results array<struct<{', '.join(x.replace(' ', ':') for x in ITEM.split(', '))}>>").Results
+        ).alias("position", "x"),
+    )
     items = parsed.select(
         *pages.columns, "position", F.col("x.Id").alias("id"), parse_long(F.col("x.Etag")).alias("etag"), F.col("x.Type").alias("item_type"), F.col("x.Flags").alias("flags"),
         F.col("x.ChangeVector").alias("change_vector"), F.col("x.Collection").alias("collection"), F.col("x.LastModified").alias("last_modified"),
@@ -36,7 +41,9 @@ def is_live_document(item_type: Column, flags: Column) -> Column:
 def first_seen(items: DataFrame) -> DataFrame:
     """Of the items of one document and page the one with the least etag, then the first that arrived."""
     order = F.struct("etag", "feed_seq")
-    return items.groupBy("node_url", "page_no", key(F.col("id")).alias("document_key")).agg(F.min(order).alias("w")).select("node_url", "page_no", "document_key", "w.etag", "w.feed_seq")
+    return items.groupBy(
+        "node_url", "page_no", key(F.col("id")).alias("document_key")
+    ).agg(F.min(order).alias("w")).select("node_url", "page_no", "document_key", "w.etag", "w.feed_seq")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,16 @@ class DeliveryStore:
     words of a bucket's filter, one for each four identifiers that it is expected to hold; more identifiers only raise the
     number of exact lookups."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, identifier: str, bucket: Callable[[], Column], order: Sequence[str], words: int = 2**20) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        schema: T.StructType,
+        identifier: str,
+        bucket: Callable[[], Column],
+        order: Sequence[str],
+        words: int = 2**20,
+    ) -> None:
         self.spark, self.path, self.schema, self.identifier, self.bucket, self.order, self.words = spark, path, schema, identifier, bucket, list(order), F.lit(words).cast("bigint")
 
     def _read(self, what: str, schema: T.StructType | str, batch: str | None) -> DataFrame:
@@ -37,7 +46,18 @@ class DeliveryStore:
         return rows if batch is None else rows.where(F.col("batch") != batch)
 
     def _stored(self, batch: str | None) -> DataFrame:
-        return self._read("rows", T.StructType([*self.schema, T.StructField("_key", T.StringType()), T.StructField("batch", T.StringType()), T.StructField("_bucket", T.IntegerType())]), batch)
+        return self._read(
+            "rows",
+            T.StructType(
+                [
+                    *self.schema,
+                    T.StructField("_key", T.StringType()),
+                    T.StructField("batch", T.StringType()),
+                    T.StructField("_bucket", T.IntegerType()),
+                ]
+            ),
+            batch,
+        )
 
     def rows(self) -> DataFrame:
         """All accepted rows."""
@@ -47,16 +67,26 @@ class DeliveryStore:
         """Stores the rows of ``batch`` whose identifiers are new. A batch of the same name is replaced, as after a failure.
         Rows without identifier are stored as they are."""
         names = self.schema.fieldNames()
-        made = rows.select(*names, key(F.col(self.identifier)).alias("_key"), F.coalesce(self.bucket().cast("int"), F.lit(-1)).alias("_bucket"))
-        first = made.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min(F.struct(*self.order, F.struct(*names, "_bucket").alias("row"))).alias("w")).select("_key", "w.row.*")
+        made = rows.select(
+            *names, key(F.col(self.identifier)).alias("_key"), F.coalesce(self.bucket().cast("int"), F.lit(-1)).alias("_bucket")
+        )
+        first = made.where(F.col("_key").isNotNull()).groupBy("_key").agg(
+            F.min(F.struct(*self.order, F.struct(*names, "_bucket").alias("row"))).alias("w")
+        ).select("_key", "w.row.*")
         first = cut(first)
-        known = self._read("filters", FILTERS, batch).groupBy(F.col("bucket").alias("other"), F.col("word").alias("at")).agg(F.bit_or("bits").alias("bits"))
-        probed = first.select("_key", *word_and_mask(F.col("_key"), self.words)).join(known, (F.col("word") == F.col("at")) & knows(F.col("bits"), F.col("mask")))
+        known = self._read("filters", FILTERS, batch).groupBy(
+            F.col("bucket").alias("other"), F.col("word").alias("at")
+        ).agg(F.bit_or("bits").alias("bits"))
+        probed = first.select("_key", *word_and_mask(F.col("_key"), self.words)).join(
+            known, (F.col("word") == F.col("at")) & knows(F.col("bits"), F.col("mask"))
+        )
         possible = cut(probed.select("_key", F.col("other").alias("_bucket")))
         named = [r[0] for r in possible.select("_bucket").distinct().collect()]  # as many as there are time buckets, at most
         stored = self._stored(batch).where(F.col("_bucket").isin(named)).select("_key", "_bucket")
         repeats = possible.join(stored, ["_key", "_bucket"], "left_semi").select("_key").distinct()
         new = first.join(repeats, "_key", "left_anti").unionByName(made.where(F.col("_key").isNull()))
         new.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/rows/batch={batch}")
-        accepted = self._stored(None).where((F.col("batch") == batch) & F.col("_key").isNotNull()).select(F.col("_bucket").alias("bucket"), F.col("_key").alias("key"))
+        accepted = self._stored(None).where((F.col("batch") == batch) & F.col("_key").isNotNull()).select(
+            F.col("_bucket").alias("bucket"), F.col("_key").alias("key")
+        )
         filters(accepted, self.words).write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")

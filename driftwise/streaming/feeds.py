@@ -25,12 +25,16 @@ def live_versions(items: DataFrame, at: str | None = None, late: str = "7 days")
     With an event-time column ``at`` the state keeps versions for ``late`` and no longer; without one it keeps all of them,
     as exact deduplication over a feed's whole life must."""
     usable = items.where(is_live_document(F.col("item_type"), F.col("flags")) & ~blank(F.col("id")))
-    keyed = usable.withColumn("document_key", key(F.col("id"))).withColumn("version", version_hash(F.col("document_key"), normalize(F.col("change_vector"))))
+    keyed = usable.withColumn("document_key", key(F.col("id"))).withColumn(
+        "version", version_hash(F.col("document_key"), normalize(F.col("change_vector")))
+    )
     names = ["node_url", "document_key", "version"]
     return keyed.dropDuplicates(names) if at is None else keyed.withWatermark(at, late).dropDuplicatesWithinWatermark(names)
 
 
-def append_feed(items: DataFrame, target: EqualityDeleteTable, entries: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def append_feed(
+    items: DataFrame, target: EqualityDeleteTable, entries: Callable[[DataFrame], DataFrame], checkpoint: str
+) -> StreamingQuery:
     """Starts a query that appends the ``entries`` of each batch of the stream to ``target`` and ends when the input is read. A
     batch that is run again after a failure replaces itself, so each takes effect once."""
 
@@ -42,5 +46,7 @@ def append_feed(items: DataFrame, target: EqualityDeleteTable, entries: Callable
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Writes a stream's rows to parquet until the input is read."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query = stream.writeStream.format("parquet").option("path", path).option(
+        "checkpointLocation", checkpoint
+    ).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
