@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cut before the match's end, strongest first: the boundary is where the match ends.
@@ -26,7 +26,12 @@ ROW = rb"\n(?=\|-|\||\*|;|:)"
 LINE = rb"[\r\n]+"
 SENTENCE = rb"[.!?]['\")\]]*[ \t]+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|\xd8\x9f)"
 WORD = rb"[ \t\r\n]+"
-LEVELS = [(name, re.compile(pattern)) for name, pattern in (("section", SECTION), ("paragraph", PARAGRAPH), ("row", ROW), ("line", LINE), ("sentence", SENTENCE), ("word", WORD))]
+LEVELS = [
+    (name, re.compile(pattern)) for name, pattern in (
+        ("section", SECTION), ("paragraph", PARAGRAPH), ("row", ROW), ("line", LINE), ("sentence", SENTENCE), ("word", WORD)
+    )
+]
+PIECES = "array<struct<first_byte:int,new_byte:int,end_byte:int,cut:string,unbroken:boolean>>"
 SPACE = re.compile(rb"[ \t\r\n]")
 SPACES = b" \t\r\n"
 
@@ -60,7 +65,12 @@ def boundary(text: bytes, start: int, end: int, limit: int) -> tuple[int, str]:
             return at, name
     # no boundary near: the nearest white space anywhere inside, the cut being after it or, at the very end, before it
     after = SPACE.search(text, middle, end)
-    before = max(text.rfind(b" ", start, middle), text.rfind(b"\t", start, middle), text.rfind(b"\r", start, middle), text.rfind(b"\n", start, middle))
+    before = max(
+        text.rfind(b" ", start, middle),
+        text.rfind(b"\t", start, middle),
+        text.rfind(b"\r", start, middle),
+        text.rfind(b"\n", start, middle),
+    )
     places = [p for x in ((after.start() if after else -1), before) if x >= 0 for p in (x + 1, x) if start < p < end]
     if places:
         return min(places, key=lambda p: abs(p - middle)), "word"
@@ -98,27 +108,43 @@ def _overlap_start(text: bytes, least: int, start: int) -> int:
     return least
 
 
-def split_spans(texts: DataFrame, text_id: str, text: str, limit: int, overlap: int) -> DataFrame:
-    """The pieces of texts of more than ``limit`` bytes, by position: ``text_id``, ``text``, ``piece`` (from 0), ``first_byte``
-    and ``end_byte`` of the piece, ``new_byte`` (where the part begins that the piece before doesn't have), ``cut``: what the
-    piece starts at (start, section, paragraph, row, line, sentence, word or hard), and ``unbroken``: whether the text has
-    a stretch of more than ``limit`` bytes without white space. Only such a stretch is cut inside a word, and only where it
-    has no sentence end near the middle, as scripts without spaces have."""
+def _cuts(text: Column, limit: int, overlap: int) -> Column:
+    """The pieces of texts of more than ``limit`` bytes; null for others, whose bytes the Python worker doesn't get."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to less than limit")
-
     long = re.compile(rb"[^ \t\r\n]{%d}" % (limit + 1))
 
-    @F.pandas_udf("array<struct<first_byte:int,new_byte:int,end_byte:int,cut:string,unbroken:boolean>>")
+    @F.pandas_udf(PIECES)
     def cut(batch: pd.Series) -> pd.Series:
-        found = []
-        for t in map(bytes, batch):
-            unbroken = long.search(t) is not None
-            found.append([{"first_byte": a, "new_byte": b, "end_byte": c, "cut": d, "unbroken": unbroken} for a, b, c, d in spans(t, limit, overlap)])
-        return pd.Series(found)
+        found: list[list[dict] | None] = []
+        for t in batch:
+            if t is None:
+                found.append(None)
+                continue
+            data = bytes(t)
+            unbroken = long.search(data) is not None
+            found.append(
+                [
+                    {
+                        "first_byte": a, "new_byte": b, "end_byte": c, "cut": d, "unbroken": unbroken
+                    } for a, b, c, d in spans(data, limit, overlap)
+                ]
+            )
+        return pd.Series(found, dtype=object)
+
+    return cut(F.when(F.octet_length(text) > limit, text.cast("binary")))
 
+
+def split_spans(texts: DataFrame, text_id: str, text: str, limit: int, overlap: int) -> DataFrame:
+    """The pieces of texts of more than ``limit`` bytes, by position: ``text_id``, ``text``, ``piece`` (from 0), ``first_byte``
+    and ``end_byte`` of the piece, ``new_byte`` (where the part begins that the piece before doesn't have), ``cut``: what the
+    piece starts at (start, section, paragraph, row, line, sentence, word or hard), and ``unbroken``: whether the text has
+    a stretch of more than ``limit`` bytes without white space. Only such a stretch is cut inside a word, and only where it
+    has no sentence end near the middle, as scripts without spaces have."""
     over = texts.where(F.octet_length(F.col(text)) > limit).select(F.col(text_id).alias("id"), F.col(text).alias("text"))
-    return over.withColumn("cuts", cut(F.col("text").cast("binary"))).select(F.col("id").alias(text_id), "text", F.posexplode("cuts").alias("piece", "c")).select(text_id, "text", "piece", "c.*")
+    return over.withColumn("cuts", _cuts(F.col("text"), limit, overlap)).select(
+        F.col("id").alias(text_id), "text", F.posexplode("cuts").alias("piece", "c")
+    ).select(text_id, "text", "piece", "c.*")
 
 
 def split_texts(texts: DataFrame, text_id: str, text: str, limit: int, overlap: int) -> DataFrame:
@@ -126,10 +152,26 @@ def split_texts(texts: DataFrame, text_id: str, text: str, limit: int, overlap:
     ``cut`` and ``piece_text``.
 
     Texts that fit are one piece. Null texts give no piece, empty ones an empty piece. Bytes that are no UTF-8 are kept as
-    they are. ``text_id`` needn't be unique: rows are cut one by one, and repeated rows give repeated pieces."""
-    zero = F.lit(0)
-    whole = texts.where(F.octet_length(F.col(text)) <= limit).select(F.col(text_id), zero.alias("piece"), zero.alias("first_byte"), zero.alias("new_byte"), F.octet_length(F.col(text)).alias("n_tokens"), F.lit("start").alias("cut"), F.col(text).alias("piece_text"))
-    found = split_spans(texts, text_id, text, limit, overlap)
-    size = F.col("end_byte") - F.col("first_byte")
-    cut_out = F.substring(F.col("text").cast("binary"), F.col("first_byte") + 1, size).cast("string")
-    return whole.unionAll(found.select(text_id, "piece", "first_byte", "new_byte", size.alias("n_tokens"), "cut", cut_out.alias("piece_text")))
+    they are. ``text_id`` needn't be unique: rows are cut one by one, and repeated rows give repeated pieces. Texts are read
+    once."""
+    size = F.octet_length("text")
+    whole = F.array(
+        F.struct(
+            F.lit(0).alias("first_byte"),
+            F.lit(0).alias("new_byte"),
+            size.alias("end_byte"),
+            F.lit("start").alias("cut"),
+            F.lit(False).alias("unbroken"),
+        )
+    ).cast(PIECES)
+    held = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("id"), F.col(text).alias("text"))
+    found = held.withColumn("cuts", _cuts(F.col("text"), limit, overlap)).select(
+        "id", "text", F.posexplode(F.coalesce("cuts", whole)).alias("piece", "c")
+    ).select("id", "text", "piece", "c.*")
+    length = F.col("end_byte") - F.col("first_byte")
+    part = F.when(length == size, F.col("text")).otherwise(
+        F.substring(F.col("text").cast("binary"), F.col("first_byte") + 1, length).cast("string")
+    )
+    return found.select(
+        F.col("id").alias(text_id), "piece", "first_byte", "new_byte", length.alias("n_tokens"), "cut", part.alias("piece_text")
+    )
