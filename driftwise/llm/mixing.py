@@ -28,18 +28,34 @@ def mix_rates(records: DataFrame, source: str, size: str, targets: DataFrame, to
     ``total`` tokens wanted, a source whose cap binds falls short. Sources without tokens can give nothing: their rate is 0
     and the shares of the others keep their proportions. Records of null or unknown source aren't used. Several targets
     for a source add up, with the greatest cap; null, negative and zero shares and caps give rate 0."""
-    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
-    held = records.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("_s")).agg(F.count(F.lit(1)).alias("n_records"), F.sum(size).cast("bigint").alias("n_tokens"))
-    known = wanted.join(held, F.col("source") == F.col("_s"), "left").select("source", "target_share", "max_repeats", F.coalesce("n_records", F.lit(0)).alias("n_records"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
+        F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
+    )
+    held = records.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("_s")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.sum(size).cast("bigint").alias("n_tokens")
+    )
+    known = wanted.join(held, F.col("source") == F.col("_s"), "left").select(
+        "source",
+        "target_share",
+        "max_repeats",
+        F.coalesce("n_records", F.lit(0)).alias("n_records"),
+        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+    )
     usable = (F.col("n_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     # one number for the whole table: the largest mix in which no cap binds
-    room = F.min(F.when(usable, F.col("max_repeats") * F.col("n_tokens") / F.col("target_share"))) if total is None else F.lit(float(total)) / F.sum(F.when(usable, F.col("target_share")))
+    room = F.min(
+        F.when(usable, F.col("max_repeats") * F.col("n_tokens") / F.col("target_share"))
+    ) if total is None else F.lit(float(total)) / F.sum(F.when(usable, F.col("target_share")))
     scale = known.agg(room.alias("room")).scalar()
-    rate = F.when(usable, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * scale / F.col("n_tokens"))).otherwise(F.lit(0.0))
+    rate = F.when(
+        usable, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * scale / F.col("n_tokens"))
+    ).otherwise(F.lit(0.0))
     return known.withColumn("rate", rate)
 
 
-def mix(records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None) -> DataFrame:
+def mix(
+    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None
+) -> DataFrame:
     """One row for each copy: ``record_id``, ``source``, ``n_tokens`` and ``copy`` (from 1, at most max_repeats).
 
     ``targets``: source, target_share, max_repeats; see :func:`mix_rates` for what becomes of odd ones. ``record_id`` must be
@@ -52,7 +68,12 @@ def mix(records: DataFrame, record_id: str, source: str, size: str, targets: Dat
     )
     once_more = (uniform(seed, F.col("record")) < F.col("rate") - F.floor("rate")).cast("bigint")
     copies = drawn.withColumn("copies", F.floor("rate") + once_more).where(F.col("copies") > 0)
-    return copies.select(F.col("record").alias(record_id), "source", "n_tokens", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"))
+    return copies.select(
+        F.col("record").alias(record_id),
+        "source",
+        "n_tokens",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"),
+    )
 
 
 def small_side(rates: DataFrame, targets: DataFrame) -> DataFrame:
@@ -60,11 +81,15 @@ def small_side(rates: DataFrame, targets: DataFrame) -> DataFrame:
     return F.broadcast(rates) if small(targets) is not targets else rates
 
 
-def mix_shares(records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None) -> DataFrame:
+def mix_shares(
+    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None
+) -> DataFrame:
     """For each source of ``targets`` what :func:`mix_rates` has, and of the mix: ``mixed_records``, ``mixed_tokens`` and
     ``actual_share`` of all its tokens (null if the mix has none)."""
     rates = mix_rates(records, source, size, targets, total)
-    got = mix(records, record_id, source, size, targets, seed=seed, total=total).groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("mixed_records"), F.sum("n_tokens").alias("mixed_tokens"))
+    got = mix(records, record_id, source, size, targets, seed=seed, total=total).groupBy(F.col("source").alias("_s")).agg(
+        F.count(F.lit(1)).alias("mixed_records"), F.sum("n_tokens").alias("mixed_tokens")
+    )
     joined = rates.join(got, F.col("source") == F.col("_s"), "left").drop("_s").fillna(0, ["mixed_records", "mixed_tokens"])
     whole = got.agg(F.sum("mixed_tokens").alias("whole")).scalar()
     return joined.withColumn("actual_share", F.col("mixed_tokens") / F.nullif(whole, F.lit(0)))

@@ -79,7 +79,9 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
     sized = items.select(F.col(item_id).alias("item"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("all"))
-    piece = lambda n, at, of: F.struct(n.cast("bigint").alias("piece"), at.cast("bigint").alias("first_token"), of.cast("bigint").alias("length"))
+    piece = lambda n, at, of: F.struct(
+        n.cast("bigint").alias("piece"), at.cast("bigint").alias("first_token"), of.cast("bigint").alias("length")
+    )
     whole = F.floor(F.col("all") / capacity)
     rest = F.col("all") % capacity
     pieces = F.transform(
@@ -100,5 +102,12 @@ def pack(items: DataFrame, item_id: str, size: str, capacity: int) -> DataFrame:
         (F.col("fill") + within % F.col("each") * F.col("length")).alias("container_offset"),
     )
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
-    empty = sized.where(F.col("all") <= 0).select("item", zero.alias("piece"), zero.alias("first_token"), zero.alias("n_tokens"), none.alias("container_id"), none.alias("container_offset"))
+    empty = sized.where(F.col("all") <= 0).select(
+        "item",
+        zero.alias("piece"),
+        zero.alias("first_token"),
+        zero.alias("n_tokens"),
+        none.alias("container_id"),
+        none.alias("container_offset"),
+    )
     return placed.unionAll(empty).withColumnRenamed("item", item_id)

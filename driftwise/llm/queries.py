@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.llm.mixing import mix, mix_shares
@@ -24,8 +24,10 @@ def bpe_vocabulary(spark: SparkSession) -> str:
     return spark.conf.get("driftwise.bpe.vocabulary", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
-def _sized(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "source", byte_tokens(F.col("text")).alias("n_tokens"))
+def _sized(spark: SparkSession, folder: str, tokens: Column | None = None) -> DataFrame:
+    """Ids, sources and sizes, in the shared folder: operators read them several times, and the texts once."""
+    tokens = byte_tokens(F.col("text")) if tokens is None else tokens
+    return cut(table(spark, folder, "documents").select("doc_id", "source", tokens.alias("n_tokens")))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,14 +35,14 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_containers_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    # the sizes are read three times and cost most of the work, hence are kept in the shared folder
-    sized = table(spark, folder, "documents").select("doc_id", bpe_tokens(F.col("text"), bpe_vocabulary(spark)).alias("n_tokens"))
-    return pack(cut(sized), "doc_id", "n_tokens", BPE_CAPACITY)
+    return pack(_sized(spark, folder, bpe_tokens(F.col("text"), bpe_vocabulary(spark))), "doc_id", "n_tokens", BPE_CAPACITY)
 
 
 def p6_container_fill(spark: SparkSession, folder: str) -> DataFrame:
     """How full containers are: for each number of tokens used, the containers with it."""
-    used = p6_containers(spark, folder).where(F.col("container_id").isNotNull()).groupBy("container_id").agg(F.sum("n_tokens").alias("tokens_used"))
+    used = p6_containers(spark, folder).where(F.col("container_id").isNotNull()).groupBy("container_id").agg(
+        F.sum("n_tokens").alias("tokens_used")
+    )
     return used.groupBy("tokens_used").agg(F.count(F.lit(1)).alias("n_containers"))
 
 

@@ -31,6 +31,8 @@ def bpe_tokens(text: Column, vocabulary: str) -> Column:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("ranks", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
         for texts in batches:
-            yield pd.Series([0 if t is None else len(encoding.encode_ordinary(bytes(t).decode("utf-8", "replace"))) for t in texts], dtype="int64")
+            yield pd.Series(
+                [0 if t is None else len(encoding.encode_ordinary(bytes(t).decode("utf-8", "replace"))) for t in texts], dtype="int64"
+            )
 
     return count(text.cast("binary"))
