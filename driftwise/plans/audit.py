@@ -382,6 +382,19 @@ def observed_states(spark, folder):
     )
 
 
+@query(
+    """WITH p AS (SELECT unnest(observed_state) AS s FROM (SELECT observed_state FROM mismatches QUALIFY row_number() OVER (PARTITION BY id
+  ORDER BY detected_at DESC NULLS LAST, run_id DESC NULLS LAST, observed_state DESC NULLS LAST) = 1))
+SELECT s.node_url AS node_url, s.present AS present, count(*) AS n, count(DISTINCT upper(s.collection)) AS n_collections FROM p GROUP BY 1, 2"""
+)
+def observed_states_all(spark, folder):
+    """States of all mismatches by node, each id once, however often it was delivered: as its last copy has them."""
+    last = _mismatches(spark, folder).groupBy("id").agg(F.max(F.struct("detected_at", "run_id", "observed_state")).alias("w"))
+    return last.select(F.explode("w.observed_state").alias("s")).groupBy("s.node_url", "s.present").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(key(F.col("s.collection"))).alias("n_collections")
+    )
+
+
 @query(
     EVALUATED
     + f""", pref AS (SELECT * FROM mismatches QUALIFY row_number() OVER (PARTITION BY upper(document_id) ORDER BY detected_at DESC NULLS LAST, run_id DESC, id DESC, winner_cv DESC NULLS LAST) = 1)
