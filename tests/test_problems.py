@@ -142,6 +142,21 @@ def test_a_hot_key_is_paired_whole_in_stages(spark):
     assert sorted(tuple(g["r"]) for g in hot if g["r"]) == sorted(r[1:] for r in right if r[0] == "hot" and r[1:] not in shared)
 
 
+@pytest.mark.parametrize(("classes", "pairing"), [(1000, "exact"), (5, "staged")])
+def test_hot_keys_of_close_times_stay_whole(spark, classes, pairing):
+    # keys and fields that only differ below the millisecond
+    at = lambda us: datetime.datetime(2026, 1, 1, 0, 0, 0, us)
+    data = [(at(k), at(100 + 2 * i + side), f"{i % 7}", not side) for k in (1, 2) for side, n in ((0, 40 + k), (1, 30)) for i in range(n)]
+    df = spark.createDataFrame([*data, *data[-3:]], "k timestamp, at timestamp, b string, here boolean")
+    got = diff_copies(df, "k", ["at", "b"], F.col("here"), exact_rows=10, exact_classes=classes).collect()
+    assert {g["pairing"] for g in got} == {pairing}
+    for k in (1, 2):
+        mine = [g for g in got if g["k"] == at(k)]
+        assert sum(g["side"] == "both" for g in mine) == (30 if k == 1 else 33)
+        for side, here in (("l", True), ("r", False)):
+            assert sorted(tuple(g[side]) for g in mine if g[side]) == sorted(r[1:3] for r in [*data, *data[-3:]] if r[0] == at(k) and r[3] == here)
+
+
 def test_copies_of_nothing(spark):
     assert diffs(spark, [], []).count() == 0
 
