@@ -5,7 +5,8 @@ line, sentence, word, in this order of strength); halves that still exceed the l
 each piece is extended backwards by the overlap. Sizes are tokens of the byte tokenizer, one for each byte.
 
 Only where there is no white space to cut at inside a stretch longer than the limit is a word cut, between characters. A
-word that fits into the limit but not into the limit less the overlap stays whole, with as much overlap as fits.
+word that fits into the limit but not into the limit less the overlap stays whole, with as much overlap as fits; what is left
+of a word that was cut has nothing to keep whole, and is cut until the overlap fits.
 
 The Python worker gets the bytes of oversized texts and returns positions; the pieces themselves are cut out in the JVM.
 Nothing is shuffled.
@@ -48,16 +49,17 @@ def nearest(pattern: re.Pattern, text: bytes, low: int, high: int, middle: int)
     return best
 
 
-def between_characters(text: bytes, at: int, low: int) -> int:
-    """``at``, or a little before it, where no UTF-8 character is cut; ``at`` itself if the bytes are no UTF-8."""
-    for back in range(4):
-        if at - back > low and at - back < len(text) and text[at - back] & 0xC0 != 0x80:
-            return at - back
+def between_characters(text: bytes, at: int, low: int, high: int) -> int:
+    """``at``, or a little before it, else after it, inside (low, high), where no UTF-8 character is cut; ``at`` itself if the
+    bytes are no UTF-8."""
+    for place in (at, at - 1, at - 2, at - 3, at + 1, at + 2, at + 3):
+        if low < place < high and text[place] & 0xC0 != 0x80:
+            return place
     return at
 
 
-def boundary(text: bytes, start: int, end: int, limit: int) -> tuple[int, str]:
-    """Where to cut text[start:end], and at what; (-1, '') if it is a word that fits into ``limit``."""
+def boundary(text: bytes, start: int, end: int, whole: int) -> tuple[int, str]:
+    """Where to cut text[start:end], and at what; (-1, '') if it is a word of at most ``whole`` bytes."""
     middle, reach = (start + end) // 2, (end - start) // 4
     for name, pattern in LEVELS:
         at = nearest(pattern, text, max(start, middle - reach), min(end, middle + reach), middle)
@@ -74,19 +76,21 @@ def boundary(text: bytes, start: int, end: int, limit: int) -> tuple[int, str]:
     places = [p for x in ((after.start() if after else -1), before) if x >= 0 for p in (x + 1, x) if start < p < end]
     if places:
         return min(places, key=lambda p: abs(p - middle)), "word"
-    return (-1, "") if end - start <= limit else (between_characters(text, middle, start), "hard")
+    return (-1, "") if end - start <= whole else (between_characters(text, middle, start, end), "hard")
 
 
 def spans(text: bytes, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
     """Pieces (start with overlap, start of what is new, end, the boundary at which it starts) of a text over ``limit``."""
-    room, pieces, todo = limit - overlap, [], [(0, len(text), "start")]
+    room, pieces, todo = limit - overlap, [], [(0, len(text), "start", "end")]
     while todo:
-        start, end, cut = todo.pop()
-        at, name = boundary(text, start, end, limit) if end - start > room else (-1, "")
+        start, end, cut, next_cut = todo.pop()
+        # what is left of a word that was cut is no word to keep, but a character (of up to 4 bytes) is
+        whole = min(limit, max(room, 4)) if "hard" in (cut, next_cut) else limit
+        at, name = boundary(text, start, end, whole) if end - start > room else (-1, "")
         if at < 0:
             pieces.append((start, end, cut))
         else:
-            todo += [(at, end, name), (start, at, cut)]
+            todo += [(at, end, name, next_cut), (start, at, cut, name)]
     out = []
     for i, (start, end, cut) in enumerate(pieces):
         back = start

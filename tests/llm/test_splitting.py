@@ -31,6 +31,14 @@ def test_the_strongest_boundary_near_the_middle_is_taken():
     assert [(new, cut) for _, new, _, cut in spans(text, 60, 0)] == [(0, "start"), (51, "paragraph")]
 
 
+@pytest.mark.parametrize("size", [16384, 16059, 8193, 40000])
+def test_pieces_of_a_word_that_is_cut_get_the_whole_overlap(size):
+    text = b"x" * size
+    pieces = spans(text, 8192, 256)
+    assert [new - first for first, new, _, _ in pieces] == [0] + [256] * (len(pieces) - 1)
+    assert b"".join(text[new:end] for _, new, end, _ in pieces) == text and max(end - first for first, _, end, _ in pieces) <= 8192
+
+
 def test_broken_bytes_are_kept():
     text = b"\x80" * 100
     pieces = spans(text, 30, 5)
