@@ -4,7 +4,8 @@ Recursive bisection: a text, as UTF-8 bytes, is cut at the strongest boundary ne
 line, sentence, word, in this order of strength); halves that still exceed the limit less the overlap are cut again; last,
 each piece is extended backwards by the overlap. Sizes are tokens of the byte tokenizer, one for each byte.
 
-Only where there is no white space to cut at inside a stretch longer than the limit is a word cut, between characters. A
+Only where there is neither white space nor a sentence end to cut at inside a stretch longer than the limit is a word cut,
+between characters. A
 word that fits into the limit but not into the limit less the overlap stays whole, with as much overlap as fits; what is left
 of a word that was cut has nothing to keep whole, and is cut until the overlap fits.
 
@@ -76,7 +77,14 @@ def boundary(text: bytes, start: int, end: int, whole: int) -> tuple[int, str]:
     places = [p for x in ((after.start() if after else -1), before) if x >= 0 for p in (x + 1, x) if start < p < end]
     if places:
         return min(places, key=lambda p: abs(p - middle)), "word"
-    return (-1, "") if end - start <= whole else (between_characters(text, middle, start, end), "hard")
+    if end - start <= whole:
+        return -1, ""
+    # before a word is cut: a boundary far from the middle, as scripts without spaces have
+    for name, pattern in LEVELS:
+        at = nearest(pattern, text, start, end, middle)
+        if at > 0:
+            return at, name
+    return between_characters(text, middle, start, end), "hard"
 
 
 def spans(text: bytes, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
@@ -144,7 +152,7 @@ def split_spans(texts: DataFrame, text_id: str, text: str, limit: int, overlap:
     and ``end_byte`` of the piece, ``new_byte`` (where the part begins that the piece before doesn't have), ``cut``: what the
     piece starts at (start, section, paragraph, row, line, sentence, word or hard), and ``unbroken``: whether the text has
     a stretch of more than ``limit`` bytes without white space. Only such a stretch is cut inside a word, and only where it
-    has no sentence end near the middle, as scripts without spaces have."""
+    has no sentence end, as scripts without spaces have."""
     over = texts.where(F.octet_length(F.col(text)) > limit).select(F.col(text_id).alias("id"), F.col(text).alias("text"))
     return over.withColumn("cuts", _cuts(F.col("text"), limit, overlap)).select(
         F.col("id").alias(text_id), "text", F.posexplode("cuts").alias("piece", "c")

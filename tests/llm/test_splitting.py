@@ -39,6 +39,11 @@ def test_pieces_of_a_word_that_is_cut_get_the_whole_overlap(size):
     assert b"".join(text[new:end] for _, new, end, _ in pieces) == text and max(end - first for first, _, end, _ in pieces) <= 8192
 
 
+def test_a_sentence_end_far_from_the_middle_comes_before_a_cut_inside_a_word():
+    text = b"x" * 10 + "。".encode() + b"x" * 77 + "。".encode() + b"x" * 7
+    assert [(new, cut) for _, new, _, cut in spans(text, 90, 0)] == [(0, "start"), (13, "sentence")]
+
+
 def test_broken_bytes_are_kept():
     text = b"\x80" * 100
     pieces = spans(text, 30, 5)
