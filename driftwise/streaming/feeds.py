@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +12,7 @@ from driftwise.functions.vectors import blank, key, normalize
 from driftwise.operators.change_feed import EqualityDeleteTable
 from driftwise.operators.replicas import version_hash
 from driftwise.sources.pages import is_live_document
+from driftwise.streaming.deliveries import DeliveryStore
 
 
 def read_feed(spark: SparkSession, path: str, schema, files_a_batch: int = 1) -> DataFrame:
@@ -44,6 +45,22 @@ def append_feed(
     return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def once_a_run(run: Column, document: Column) -> Column:
+    """The identifier by which a document counts once in a run; null, which is never suppressed, for a blank document."""
+    return F.when(~blank(document), F.concat(F.hex(F.coalesce(run, F.lit(""))), F.lit("/"), key(document)))
+
+
+def keep_first(items: DataFrame, store: DeliveryStore, checkpoint: str) -> StreamingQuery:
+    """Starts a query that stores the rows of a stream whose identifiers ``store`` doesn't have, and ends when the input is
+    read. With :func:`once_a_run` as identifier and the etag as order, a document that is seen again in a run is suppressed,
+    be it at a later etag, and its first verdict kept. A batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        store.accept(f"{number:08d}", batch)
+
+    return items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Writes a stream's rows to parquet until the input is read."""
     query = stream.writeStream.format("parquet").option("path", path).option(
