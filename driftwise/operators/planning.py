@@ -53,6 +53,17 @@ def repair_groups(planned: DataFrame) -> DataFrame:
     )
 
 
+def repair_group_nodes(planned: DataFrame) -> DataFrame:
+    """One row for each group of :func:`repair_groups`, with the nodes that any of its documents affects, distinct and in order
+    (``affected_nodes``, comma-joined; empty if there are none), and their number. Sets are bounded by the nodes, and combine
+    on the map side."""
+    nodes = planned.select(*GROUP, F.explode_outer(F.split("affected_nodes", ",")).alias("node"))
+    union = F.sort_array(F.collect_set(F.when(F.col("node") != "", F.col("node"))))
+    return nodes.groupBy(*GROUP).agg(union.alias("u")).select(
+        *GROUP, F.array_join("u", ",").alias("affected_nodes"), F.size("u").cast("bigint").alias("n_nodes")
+    )
+
+
 def plan_items(planned: DataFrame) -> DataFrame:
     """One row for each document of a plan, with a deterministic id, and the group it belongs to."""
     return planned.select(

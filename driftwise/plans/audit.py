@@ -232,6 +232,16 @@ def repair_groups(spark, folder):
     return planning.repair_groups(_planned(spark, folder))
 
 
+@query(
+    EVALUATED
+    + """, n AS (SELECT winner_node, collection, winner_cv, unnest(string_split(coalesce(affected_nodes, ''), ',')) AS node FROM decided WHERE decision = 'PatchPlannedDryRun')
+SELECT winner_node, collection, winner_cv, coalesce(string_agg(DISTINCT node, ',' ORDER BY node) FILTER (node <> ''), '') AS affected_nodes, count(DISTINCT node) FILTER (node <> '') AS n_nodes FROM n GROUP BY 1, 2, 3"""
+)
+def repair_group_nodes(spark, folder):
+    """The nodes that each repair group affects."""
+    return planning.repair_group_nodes(_planned(spark, folder))
+
+
 @query(EVALUATED + f" SELECT document_key, winner_node, CAST(floor((row_number() OVER (PARTITION BY winner_node ORDER BY document_key) - 1) / {CHUNK}) AS BIGINT) AS chunk FROM decided WHERE decision = 'PatchPlannedDryRun'")
 def repair_chunks(spark, folder):
     # read three times below, and evaluated once
