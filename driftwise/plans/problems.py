@@ -15,11 +15,14 @@ from driftwise.operators.snapshot_changes import snapshot_changes, validity_inte
 from driftwise.plans.sqltext import cv_norm, present
 from driftwise.session import cut, scratch
 from driftwise.sources.tables import table
+from driftwise.streaming.deliveries import DeliveryStore
 
 #: A repair group is heavy if it holds one in so many rows.
 HEAVY_ONE_IN = 20
 #: Hours of a time bucket of deliveries.
 BUCKET_HOURS = 12
+#: Delivery rounds that a store accepts as one batch.
+ROUNDS_A_BATCH = 8
 
 
 # 1. A few keys holding most records
@@ -93,8 +96,26 @@ def p4_deduplicated(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_first_accepted(spark: SparkSession, folder: str) -> DataFrame:
+    """``delivery_id`` of what a store accepts that gets the rounds as they arrive: the first copy of each id. Every batch is
+    screened by the filters of the buckets stored before, and possible repeats are looked up in the bucket folders that these
+    name."""
+    rows = table(spark, folder, "node_document_snapshots").select("delivery_id", "batch_no", "id", "received_at")
+    store = DeliveryStore(
+        spark, scratch(spark, "deliveries"), rows.schema, "id", lambda: time_bucket(F.col("received_at")), ["delivery_id"]
+    )
+    batch = F.floor(F.col("batch_no") / ROUNDS_A_BATCH)
+    # a fixed number, whatever the number of rows; rows without a round come first
+    for r in rows.select(batch.alias("b")).distinct().orderBy("b").collect():
+        of = F.col("batch_no").isNull() if r["b"] is None else F.col("batch_no").between(r["b"] * ROUNDS_A_BATCH, (r["b"] + 1) * ROUNDS_A_BATCH - 1)
+        store.accept("none" if r["b"] is None else f"{r['b']:08d}", rows.where(of))
+    return store.rows().select("delivery_id")
+
+
 P4_RANKED = "SELECT *, row_number() OVER (PARTITION BY upper(id) ORDER BY last_modified DESC NULLS LAST, delivery_id) AS rn FROM node_document_snapshots"
 P4_FOUND_SQL = f"SELECT delivery_id FROM ({P4_RANKED}) WHERE rn > 1"
+P4_FIRST_SQL = f"""SELECT delivery_id FROM (SELECT *, row_number() OVER (PARTITION BY upper(id) ORDER BY batch_no // {ROUNDS_A_BATCH} NULLS FIRST, delivery_id) AS rn
+  FROM node_document_snapshots) WHERE rn = 1 OR id IS NULL"""
 P4_KEPT_SQL = f"SELECT delivery_id, batch_no, id, original_document_id, from_node, change_vector, collection, last_modified FROM ({P4_RANKED}) WHERE rn = 1"
 
 
@@ -253,9 +274,9 @@ SELECT from_node, document_key, min(i) AS first_snapshot, max(i) AS last_snapsho
 
 QUERIES = {
     "p1_found": p1_found, "p1_repair_groups": p1_repair_groups, "p2_found": p2_found, "p2_differences": p2_differences, "p3_found": p3_found,
-    "p4_found": p4_found, "p4_deduplicated": p4_deduplicated, "p5_found": p5_found, "p5_intervals": p5_intervals,
+    "p4_found": p4_found, "p4_deduplicated": p4_deduplicated, "p4_first_accepted": p4_first_accepted, "p5_found": p5_found, "p5_intervals": p5_intervals,
 }
 SQL = {
     "p1_found": P1_FOUND_SQL, "p1_repair_groups": P1_GROUPS_SQL, "p2_found": P2_FOUND_SQL, "p2_differences": P2_DIFFERENCES_SQL, "p3_found": P3_FOUND_SQL,
-    "p4_found": P4_FOUND_SQL, "p4_deduplicated": P4_KEPT_SQL, "p5_found": P5_FOUND_SQL, "p5_intervals": P5_INTERVALS_SQL,
+    "p4_found": P4_FOUND_SQL, "p4_deduplicated": P4_KEPT_SQL, "p4_first_accepted": P4_FIRST_SQL, "p5_found": P5_FOUND_SQL, "p5_intervals": P5_INTERVALS_SQL,
 }

@@ -129,7 +129,7 @@ def test_delivery_store_accepts_each_identifier_once(spark, tmp_path):
         [(10, "a", t(70)), (11, "e", t(70)), (12, "D", t(71))],
     ]
     frames = [spark.createDataFrame(b, "n long, id string, at timestamp_ntz") for b in batches]
-    store = DeliveryStore(spark, f"{tmp_path}/store", frames[0].schema, "id", lambda: problems.time_bucket(F.col("at")), ["n"], words=4)
+    store = DeliveryStore(spark, f"{tmp_path}/store", frames[0].schema, "id", lambda: problems.time_bucket(F.col("at")), ["n"], least_words=4)
     for i, df in enumerate(frames):
         store.accept(str(i), df)
     want = [1, 2, 4, 5, 7, 9, 11]

@@ -23,7 +23,7 @@ def test_a_document_seen_again_in_a_run_keeps_its_first_verdict(spark, tmp_path)
                 os.rename(f"{source}/{name}", f"{source}/0{number}.parquet")
                 os.utime(f"{source}/0{number}.parquet", (1_700_000_000 + number * 100,) * 2)
     feed = read_feed(spark, source, "run_id string, id string, etag long, verdict string").withColumn("guard", once_a_run(F.col("run_id"), F.col("id")))
-    store = DeliveryStore(spark, scratch(spark, "guards"), feed.schema, "guard", lambda: F.lit(0), ["etag"], words=64)
+    store = DeliveryStore(spark, scratch(spark, "guards"), feed.schema, "guard", lambda: F.lit(0), ["etag"], least_words=64)
     keep_first(feed, store, f"{tmp_path}/cursor").awaitTermination()
     got = sorted(tuple(r) for r in store.rows().select("run_id", F.coalesce("id", F.lit("")), "verdict").collect())
     assert got == [("R1", "a", "other case of run"), ("r1", "", "no id"), ("r1", "A", "first"), ("r1", "b", "first"), ("r1", "c", "first"), ("r2", "a", "other run")]

@@ -229,15 +229,28 @@ def test_exactly_one_row_of_each_identifier(spark):
     assert deduplicate(df.limit(0), "id", F.col("b"), [F.col("at")], ["n"]).count() == 0
 
 
-def test_bloom_filters_have_no_false_negatives_and_few_false_positives(spark):
-    from driftwise.operators.delivery_dedup import filters, knows, word_and_mask, word_count
-
-    ids = spark.range(20000).select((F.col("id") % 2).cast("int").alias("bucket"), F.col("id").cast("string").alias("key"))
-    words = word_count(ids.select("bucket"))
-    bloom = filters(ids, words).withColumnsRenamed({"bucket": "other", "word": "at"})
-    probed = ids.select("*", *word_and_mask(F.col("key"), words)).join(bloom, (F.col("word") == F.col("at")) & knows(F.col("bits"), F.col("mask")))
-    assert probed.where("bucket = other").count() == 20000
-    assert probed.where("bucket <> other").count() < 20000 * 0.01
+@pytest.mark.parametrize("buckets", [4, 32, 365])
+def test_screening_holds_for_any_number_of_buckets(spark, buckets):
+    from driftwise.operators.delivery_dedup import screen, word_count
+
+    ids = spark.range(40000).select((F.col("id") % buckets).cast("int").alias("bucket"), F.col("id").cast("string").alias("key"))
+    assert screen(ids, word_count(ids)).where("possible").count() < 40000 * 0.01
+    # every eighth key is in a second bucket too, the null one: no repeat may be taken for new
+    again = ids.where("key % 8 = 0").select(F.lit(None).cast("int").alias("bucket"), "key")
+    both = ids.unionByName(again)
+    flagged = screen(both, word_count(both)).where("possible").groupBy("key").count()
+    assert flagged.where("key % 8 = 0 and count = 2").count() == 5000
+    assert flagged.where("key % 8 <> 0").count() < 40000 * 0.01
+
+
+def test_a_delivery_store_grows_its_filters(spark, tmp_path):
+    from driftwise.streaming.deliveries import DeliveryStore
+
+    store = DeliveryStore(spark, f"{tmp_path}/store", spark.createDataFrame([], "n long, id string").schema, "id", lambda: (F.col("n") % 7).cast("int"), ["n"], least_words=4)
+    for i in range(4):  # each batch holds half of the one before again
+        store.accept(str(i), spark.range(i * 100, i * 100 + 200).select(F.col("id").alias("n"), F.col("id").cast("string").alias("id")))
+    assert sorted(r["n"] for r in store.rows().collect()) == list(range(500))
+    assert [w for w in (4, 16, 64, 256, 1024) if store._exists(f"filters-{w}/_made")] == [64, 256]
 
 
 # 5
