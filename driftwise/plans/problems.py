@@ -121,18 +121,24 @@ P4_KEPT_SQL = f"SELECT delivery_id, batch_no, id, original_document_id, from_nod
 
 # 2. Differences between two copies of data
 
+P2_FIELDS = ("change_vector", "collection", "last_modified")
 
-def replica_differences(spark: SparkSession, folder: str) -> DataFrame:
-    """Nodes A (left) and B (right) compared by document key; see :func:`diff_copies`."""
-    rows = table(spark, folder, "node_document_snapshots")
-    held = kept_snapshots(rows, rows.where(F.col("from_node").isin("A", "B"))).select(
+
+def compared(rows: DataFrame) -> DataFrame:
+    """Rows of nodes A (left) and B (right) compared by document key; see :func:`diff_copies`."""
+    held = rows.select(
         key(F.col("original_document_id")).alias("document_key"),
         "from_node",
         normalize(F.col("change_vector")).alias("change_vector"),
         F.when(~blank(F.col("collection")), key(F.col("collection"))).alias("collection"),
         "last_modified",
     )
-    return diff_copies(held, "document_key", ["change_vector", "collection", "last_modified"], F.col("from_node") == "A")
+    return diff_copies(held, "document_key", list(P2_FIELDS), F.col("from_node") == "A")
+
+
+def replica_differences(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "node_document_snapshots")
+    return compared(kept_snapshots(rows, rows.where(F.col("from_node").isin("A", "B"))))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,6 +161,36 @@ def p2_differences(spark: SparkSession, folder: str) -> DataFrame:
     return diff.select("document_key", "side", F.array_join("differing", ",").alias("differing"), "pairing", *values)
 
 
+def p2_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """All rows that nodes A and B delivered, repeated ones too, as copies of the same keys: how many rows of each document pair
+    up though they differ, in how many fields in all, and how many have no partner."""
+    rows = table(spark, folder, "node_document_snapshots").where(F.col("from_node").isin("A", "B"))
+    return compared(rows).groupBy("document_key").agg(
+        F.count_if(F.col("side") == "both").alias("n_pairs"), F.count_if(F.col("side") == "left").alias("n_left"), F.count_if(F.col("side") == "right").alias("n_right"),
+        F.coalesce(F.sum(F.size("differing")), F.lit(0)).alias("n_differing"),
+    )
+
+
+# by brute force for keys with up to three rows on one side; by counting where no row shares more than one value with the other
+# side, but for what all rows of the key have
+P2_COPIES_SQL = f"""
+WITH rows AS (SELECT from_node = 'A' AS is_a, upper(original_document_id) AS k, {cv_norm("change_vector")} AS v, CASE WHEN {present("collection")} THEN upper(collection) END AS c, last_modified AS t
+  FROM node_document_snapshots WHERE from_node IN ('A', 'B')),
+cells AS (SELECT k, v, c, t, sum(CASE WHEN is_a THEN 1 ELSE -1 END) AS net FROM rows GROUP BY ALL HAVING net <> 0),
+n AS (SELECT k, coalesce(sum(net) FILTER (net > 0), 0) AS l, -coalesce(sum(net) FILTER (net < 0), 0) AS r,
+  CAST(count(DISTINCT v) + CAST(count(v) < count(*) AS INT) = 1 AS INT) AS cv, CAST(count(DISTINCT c) + CAST(count(c) < count(*) AS INT) = 1 AS INT) AS cc, CAST(count(DISTINCT t) + CAST(count(t) < count(*) AS INT) = 1 AS INT) AS ct FROM cells GROUP BY 1),
+long AS (SELECT k, i, net, unnest([CASE WHEN cv = 0 THEN {{'f': 'v', 'x': v}} END, CASE WHEN cc = 0 THEN {{'f': 'c', 'x': c}} END, CASE WHEN ct = 0 THEN {{'f': 't', 'x': CAST(t AS VARCHAR)}} END]) AS s
+  FROM (SELECT *, row_number() OVER () AS i FROM cells) JOIN n USING (k)),
+shared AS (SELECT k, s, sum(net) FILTER (net > 0) AS a, -sum(net) FILTER (net < 0) AS b FROM long WHERE s IS NOT NULL GROUP BY 1, 2 HAVING min(sign(net)) < max(sign(net))),
+agreed AS (SELECT k, sum(least(a, b)) AS agree FROM shared GROUP BY 1),
+woven AS (SELECT DISTINCT l.k FROM long l JOIN shared s ON l.k = s.k AND l.s = s.s GROUP BY l.k, l.i HAVING count(*) > 1),
+u AS (SELECT k, v, c, t, (net > 0) = (l <= r) AS few, row_number() OVER (PARTITION BY k, net > 0 ORDER BY v, c, t) AS i FROM (SELECT *, unnest(range(CAST(abs(net) AS BIGINT))) AS copy FROM cells JOIN n USING (k) WHERE least(l, r) BETWEEN 1 AND 3)),
+w AS (SELECT a.k, a.i, b.i AS j, CAST(a.v IS DISTINCT FROM b.v AS INT) + CAST(a.c IS DISTINCT FROM b.c AS INT) + CAST(a.t IS DISTINCT FROM b.t AS INT) AS cost FROM u a JOIN u b ON a.k IS NOT DISTINCT FROM b.k AND a.few AND NOT b.few),
+best AS (SELECT a.k, min(a.cost + coalesce(b.cost, 0) + coalesce(c.cost, 0)) AS cost FROM w a JOIN n ON n.k IS NOT DISTINCT FROM a.k LEFT JOIN w b ON b.k IS NOT DISTINCT FROM a.k AND b.i = 2 AND b.j <> a.j
+  LEFT JOIN w c ON c.k IS NOT DISTINCT FROM a.k AND c.i = 3 AND c.j <> a.j AND c.j <> b.j WHERE a.i = 1 AND (b.i IS NOT NULL OR least(l, r) < 2) AND (c.i IS NOT NULL OR least(l, r) < 3) GROUP BY 1)
+SELECT n.k AS document_key, CAST(least(l, r) AS BIGINT) AS n_pairs, CAST(l - least(l, r) AS BIGINT) AS n_left, CAST(r - least(l, r) AS BIGINT) AS n_right,
+  CAST(CASE WHEN least(l, r) = 0 THEN 0 WHEN best.cost IS NOT NULL THEN best.cost WHEN n.k NOT IN (SELECT k FROM woven) THEN least(l, r) * (3 - cv - cc - ct) - coalesce(agree, 0) END AS BIGINT) AS n_differing
+FROM n LEFT JOIN best ON best.k IS NOT DISTINCT FROM n.k LEFT JOIN agreed ON agreed.k = n.k"""
 P2_COPIES = f"""
 WITH kept AS (SELECT * FROM ({P4_RANKED}) WHERE rn = 1 AND from_node IN ('A', 'B')),
 held AS (SELECT from_node, upper(original_document_id) AS document_key, {cv_norm("change_vector")} AS change_vector,
@@ -163,7 +199,6 @@ a AS (SELECT * FROM held WHERE from_node = 'A'), b AS (SELECT * FROM held WHERE
 ab AS (SELECT coalesce(a.document_key, b.document_key) AS document_key, a.from_node IS NOT NULL AS on_a, b.from_node IS NOT NULL AS on_b,
   a.change_vector AS change_vector_a, b.change_vector AS change_vector_b, a.collection AS collection_a, b.collection AS collection_b,
   a.last_modified AS last_modified_a, b.last_modified AS last_modified_b FROM a FULL JOIN b ON a.document_key = b.document_key)"""
-P2_FIELDS = ("change_vector", "collection", "last_modified")
 P2_FOUND_SQL = (
     P2_COPIES
     + " SELECT document_key, 'missing_on_a' AS difference FROM ab WHERE NOT on_a UNION SELECT document_key, 'missing_on_b' FROM ab WHERE NOT on_b"
@@ -273,10 +308,10 @@ SELECT from_node, document_key, min(i) AS first_snapshot, max(i) AS last_snapsho
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_repair_groups": p1_repair_groups, "p2_found": p2_found, "p2_differences": p2_differences, "p3_found": p3_found,
+    "p1_found": p1_found, "p1_repair_groups": p1_repair_groups, "p2_found": p2_found, "p2_differences": p2_differences, "p2_copies": p2_copies, "p3_found": p3_found,
     "p4_found": p4_found, "p4_deduplicated": p4_deduplicated, "p4_first_accepted": p4_first_accepted, "p5_found": p5_found, "p5_intervals": p5_intervals,
 }
 SQL = {
-    "p1_found": P1_FOUND_SQL, "p1_repair_groups": P1_GROUPS_SQL, "p2_found": P2_FOUND_SQL, "p2_differences": P2_DIFFERENCES_SQL, "p3_found": P3_FOUND_SQL,
+    "p1_found": P1_FOUND_SQL, "p1_repair_groups": P1_GROUPS_SQL, "p2_found": P2_FOUND_SQL, "p2_differences": P2_DIFFERENCES_SQL, "p2_copies": P2_COPIES_SQL, "p3_found": P3_FOUND_SQL,
     "p4_found": P4_FOUND_SQL, "p4_deduplicated": P4_KEPT_SQL, "p4_first_accepted": P4_FIRST_SQL, "p5_found": P5_FOUND_SQL, "p5_intervals": P5_INTERVALS_SQL,
 }

@@ -31,9 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the shared folder, so that several consumers read it and a lost executor costs nothing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once into a table in the shared folder, so that several consumers read it and a lost executor costs
+    nothing. The table is removed when the driver's Python ends.
+
+    A written table, not a checkpoint: its size is known to the optimizer, whereas a checkpoint carries the estimates of the
+    plan it was made by, which square with every join of a loop."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:

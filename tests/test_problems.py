@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,9 +143,9 @@ def test_a_hot_key_is_paired_whole_in_stages(spark):
     assert sorted(tuple(g["r"]) for g in hot if g["r"]) == sorted(r[1:] for r in right if r[0] == "hot" and r[1:] not in shared)
 
 
-@pytest.mark.parametrize(("classes", "pairing"), [(1000, "exact"), (5, "staged")])
+@pytest.mark.parametrize(("classes", "pairing"), [(1000, "exact"), (5, "exact"), (1, "staged")])
 def test_hot_keys_of_close_times_stay_whole(spark, classes, pairing):
-    # keys and fields that only differ below the millisecond
+    # keys and fields that only differ below the millisecond; classes of one b are a component
     at = lambda us: datetime.datetime(2026, 1, 1, 0, 0, 0, us)
     data = [(at(k), at(100 + 2 * i + side), f"{i % 7}", not side) for k in (1, 2) for side, n in ((0, 40 + k), (1, 30)) for i in range(n)]
     df = spark.createDataFrame([*data, *data[-3:]], "k timestamp, at timestamp, b string, here boolean")
@@ -157,6 +158,47 @@ def test_hot_keys_of_close_times_stay_whole(spark, classes, pairing):
             assert sorted(tuple(g[side]) for g in mine if g[side]) == sorted(r[1:3] for r in [*data, *data[-3:]] if r[0] == at(k) and r[3] == here)
 
 
+@pytest.mark.parametrize("seed", range(1))
+def test_components_cost_as_little_as_rows(spark, seed):
+    random.seed(seed)
+    # a is the same in all rows, b and c are shared by few
+    sides = [[("hot", "same", f"b{random.randrange(40)}", random.choice([f"c{random.randrange(60)}", f"{side}{i}", None])) for i in range(60 + 9 * side)] for side in (0, 1)]
+    by_rows, by_parts = (diffs(spark, *sides, **more).collect() for more in ({}, {"exact_rows": 10, "exact_classes": 100}))
+    single = diffs(spark, *sides, exact_rows=10, exact_classes=10).collect()
+    assert {g["pairing"] for g in by_parts} == {"exact"}
+    cost = lambda got: sum(len(g["differing"]) for g in got if g["side"] == "both")
+    assert cost(by_rows) == cost(by_parts) <= cost(single)
+    for got in (by_parts, single):
+        assert sorted(g["side"] for g in by_rows) == sorted(g["side"] for g in got)
+        for side in "lr":
+            assert sorted((tuple(g[side]) for g in by_rows if g[side]), key=repr) == sorted((tuple(g[side]) for g in got if g[side]), key=repr)
+
+
+def test_small_components_of_a_hot_key_are_exact(spark):
+    # 200 components of a few classes each, and more of one side than of the other
+    left = [("hot", "same", f"b{i % 200}", f"c{i % 200}" if i % 3 else f"l{i}") for i in range(500)]
+    right = [("hot", "same", f"b{i % 200}", f"c{(i + 200) % 400}") for i in range(420)]
+    by_rows, by_parts = (diffs(spark, left, right, **more).collect() for more in ({"exact_rows": 5000}, {"exact_rows": 10, "exact_classes": 12}))
+    assert {g["pairing"] for g in by_parts} == {"exact"}
+    assert [sum(len(g["differing"]) for g in got if g["side"] == "both") for got in (by_rows, by_parts)][0] == sum(len(g["differing"]) for g in by_parts if g["side"] == "both")
+    assert sorted(g["side"] for g in by_rows) == sorted(g["side"] for g in by_parts)
+
+
+@pytest.mark.parametrize("limits", [{"exact_rows": 5, "exact_classes": 1000}, {"exact_rows": 5, "exact_classes": 5}])
+def test_wide_hot_keys_with_odd_types_stay_whole(spark, limits):
+    random.seed(3)
+    names = [f"x{i}" for i in range(12)]
+    made = lambda side: [(b"k\xff", datetime.datetime(2026, 1, 1, 0, 0, 0, random.randrange(9)), random.choice([None, b"\xff", b"\xfe"]), *(random.choice(["p", "q", None]) for _ in range(10)), side) for _ in range(30 + 10 * side)]
+    data = [*made(True), *made(False)]
+    df = spark.createDataFrame(data, "k binary, x0 timestamp_ntz, x1 binary, " + ", ".join(f"x{i} string" for i in range(2, 12)) + ", here boolean")
+    got = diff_copies(df, "k", names, F.col("here"), **limits).collect()
+    plain = lambda r: tuple(bytes(x) if isinstance(x, bytearray) else x for x in r)
+    for side, here in (("l", True), ("r", False)):
+        mine, other = ([plain(r[1:13]) for r in data if r[13] == h] for h in (here, not here))
+        assert sorted((plain(g[side]) for g in got if g[side]), key=repr) == sorted(list((Counter(mine) - Counter(other)).elements()), key=repr)
+    assert sum(g["side"] == "both" for g in got) == min(sum(g["l"] is not None for g in got), sum(g["r"] is not None for g in got))
+
+
 def test_copies_of_nothing(spark):
     assert diffs(spark, [], []).count() == 0
 
