@@ -16,19 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftwise.session import small
+from driftwise.session import cut, small
 
 
 def snapshot_numbers(rows: DataFrame, owner: Column, snapshot: Column) -> DataFrame:
     """``owner``, ``snapshot``, ``i`` (its position among the owner's, from 1) and ``n_snapshots``: one row for each snapshot,
-    few enough in any use to be broadcast, which is checked."""
+    computed once, few enough in any use to be broadcast, which is checked."""
     names = rows.select(owner.alias("owner"), snapshot.alias("snapshot")).distinct()
     by = W.partitionBy("owner")
-    return small(
-        names.select(
-            "owner", "snapshot", F.row_number().over(by.orderBy("snapshot")).alias("i"), F.count(F.lit(1)).over(by).alias("n_snapshots")
-        )
+    numbered = names.select(
+        "owner", "snapshot", F.row_number().over(by.orderBy("snapshot")).alias("i"), F.count(F.lit(1)).over(by).alias("n_snapshots")
     )
+    return small(cut(numbered))
 
 
 def validity_intervals(
@@ -49,7 +48,9 @@ def validity_intervals(
     like any other. Content is compared by a 128-bit hash over all of it, in which nulls are equal to each other and differ
     from every value. An empty table gives no intervals."""
     numbers = snapshot_numbers(rows, owner, snapshot) if numbers is None else numbers
-    whole = F.concat_ws("\u0001", *[F.coalesce(F.concat(F.lit("+"), c.cast("string")), F.lit("-")) for c in content])
+    # each value after its length, so that no two contents have the same text
+    told = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
+    whole = F.concat(*[told(c.cast("string")) for c in content])
     plain = rows.select(
         owner.alias("owner"),
         snapshot.alias("snapshot"),
