@@ -13,6 +13,31 @@ PLANNED = "PatchPlannedDryRun"
 SKIPPED_AMBIGUOUS = "SkippedAmbiguousCv"
 SKIPPED_COLLECTION = "SkippedCollectionMismatch"
 
+ALREADY_PLANNED = "SkippedAlreadyPlanned"
+STATE_CHANGED = "SkippedStateChanged"
+ALREADY_CONSISTENT = "SkippedAlreadyConsistent"
+BY_OPERATOR = "SkippedByOperator"
+PATCHED = "PatchCompletedOnWinner"
+PATCH_FAILED = "PatchFailed"
+
+#: States of an execution that are no end: sent, with and without a known operation.
+DISPATCHING, STARTED = "PatchDispatching", "PatchStarted"
+
+#: What a patch reports of a document that it changed, and of one that isn't there.
+DETAIL_PATCHED, DETAIL_ABSENT = "Patched", "DocumentDoesNotExist"
+
+#: Reasons why a plan no longer holds.
+CONSISTENT_NOW, STILL_INCONSISTENT = "ConsistentNow", "ChangedStillInconsistent"
+
+#: Run modes and phases.
+LIVE_SCAN, APPLY, IMPORT, DOWNLOAD, CACHED_IMPORT = "LiveETagScan", "ApplyRepairPlan", "ImportSnapshots", "DownloadSnapshotsToCache", "ImportCachedSnapshotsToStateStore"
+SCAN_ONLY, DRY_RUN, SCAN_AND_REPAIR, CROSS_CHECK, FIXUP = "ScanOnly", "DryRunRepair", "ScanAndRepair", "SnapshotCrossCheck", "MismatchDecisionFixup"
+PHASE_DOWNLOAD, PHASE_IMPORT, PHASE_INDEX, PHASE_CANDIDATES = "SnapshotCacheDownload", "SnapshotImport", "WaitingForSnapshotIndex", "CandidateProcessing"
+FIRST_MISMATCH = "FirstMismatch"
+
+#: What a node is to do next.
+START_SCAN, RESUME_SCAN, START_APPLY, RESUME_APPLY = "StartScan", "ResumeScan", "StartApply", "ResumeApply"
+
 #: Types and flags of feed items, in upper case.
 DOCUMENT, TOMBSTONE = "DOCUMENT", "TOMBSTONE"
 CONFLICTED, DELETE_REVISION = "CONFLICTED", "DELETEREVISION"

@@ -29,6 +29,15 @@ def by_decision(mismatches: DataFrame, wanted: str) -> DataFrame:
     return mismatches.where(effective_decision() == wanted).select(*OVERVIEW, "winner_node", "winner_cv")
 
 
+def lookup(mismatches: DataFrame, documents: DataFrame) -> DataFrame:
+    """The mismatches of ``documents`` (``document_key``, repeated ones and nulls allowed), by run and document."""
+    wanted = documents.select(F.col("document_key").alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    named = mismatches.withColumn("document_key", F.upper("document_id"))
+    return named.join(wanted, F.col("document_key") == F.col("_k"), "left_semi").select(
+        "run_id", "document_key", "id", "collection", "mismatch_type", "winner_node", effective_decision().alias("decision")
+    )
+
+
 def unhealthy(mismatches: DataFrame) -> DataFrame:
     return mismatches.select(
         *OVERVIEW,

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from driftwise import fixed
 from driftwise.functions.scalars import backoff_seconds, csv_field, duration_text, iso_text, parse_iso, touch_statement
 from driftwise.functions.vectors import blank, key, normalize, parse_long, strip
-from driftwise.operators import planning, replicas, views
+from driftwise.operators import planning, recovery, replicas, views
 from driftwise.plans.sqltext import blank as sql_blank
 from driftwise.plans.sqltext import cv_norm, cv_segments, present
 from driftwise.session import cut, scratch
@@ -47,8 +48,13 @@ def _aligned(spark: SparkSession, folder: str) -> DataFrame:
     return replicas.align(_rows(spark, folder), _nodes(spark, folder))
 
 
+def ignored_ids(spark: SparkSession) -> list[str]:
+    """Database ids that don't count in vectors: the session's driftwise.ignored.ids, comma-separated, by default none."""
+    return [x.strip() for x in spark.conf.get("driftwise.ignored.ids", "").split(",") if x.strip()]
+
+
 def _evaluated(spark: SparkSession, folder: str) -> DataFrame:
-    return replicas.evaluate(_aligned(spark, folder))
+    return replicas.evaluate(_aligned(spark, folder), ignored_ids(spark))
 
 
 def _mismatches(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,7 +280,7 @@ def guard_overlap(spark, folder):
 @query(f"SELECT DISTINCT upper(document_id) AS document_key FROM mismatches WHERE upper(document_id) NOT IN (SELECT upper(document_id) FROM mismatches WHERE {EFFECTIVE} = 'PatchCompletedOnWinner' AND document_id IS NOT NULL)")
 def exclude_repaired(spark, folder):
     rows = _mismatches(spark, folder)
-    done = rows.where(planning.effective_decision() == "PatchCompletedOnWinner")
+    done = rows.where(planning.effective_decision() == fixed.PATCHED)
     return planning.without(
         rows.select(key(F.col("document_id")).alias("document_key")), F.col("document_key"), done, key(F.col("document_id"))
     ).distinct()
@@ -351,7 +357,7 @@ def view_skipped_collection(spark, folder):
 
 @query(_decision_sql("SkippedStateChanged"))
 def view_skipped_state_changed(spark, folder):
-    return views.by_decision(_mismatches(spark, folder), "SkippedStateChanged")
+    return views.by_decision(_mismatches(spark, folder), fixed.STATE_CHANGED)
 
 
 @query(f"SELECT id, run_id, document_id, collection, mismatch_type, winner_node, {EFFECTIVE} AS decision, len(list_filter(observed_state, lambda s: NOT s.present)) AS n_missing FROM mismatches")
@@ -378,26 +384,12 @@ def decision_counts(spark, folder):
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    """WITH p AS (SELECT id, unnest(observed_state) AS s FROM (SELECT id, any_value(observed_state) AS observed_state FROM mismatches GROUP BY 1 HAVING count(*) = 1)),
-x AS (SELECT s.node_url AS node_url, s.present AS present, count(*) AS n, count(DISTINCT upper(s.collection)) AS n_collections FROM p GROUP BY 1, 2) SELECT * FROM x"""
-)
-def observed_states(spark, folder):
-    """States of the mismatches that were delivered once, by node."""
-    once = _mismatches(spark, folder).groupBy("id").agg(
-        F.count(F.lit(1)).alias("n"), F.any_value("observed_state").alias("o")
-    ).where("n = 1").select(F.explode("o").alias("s"))
-    return once.groupBy("s.node_url", "s.present").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct(key(F.col("s.collection"))).alias("n_collections")
-    )
-
-
 @query(
     """WITH p AS (SELECT unnest(observed_state) AS s FROM (SELECT observed_state FROM mismatches QUALIFY row_number() OVER (PARTITION BY id
   ORDER BY detected_at DESC NULLS LAST, run_id DESC NULLS LAST, observed_state DESC NULLS LAST) = 1))
 SELECT s.node_url AS node_url, s.present AS present, count(*) AS n, count(DISTINCT upper(s.collection)) AS n_collections FROM p GROUP BY 1, 2"""
 )
-def observed_states_all(spark, folder):
+def observed_states(spark, folder):
     """States of all mismatches by node, each id once, however often it was delivered: as its last copy has them."""
     last = _mismatches(spark, folder).groupBy("id").agg(F.max(F.struct("detected_at", "run_id", "observed_state")).alias("w"))
     return last.select(F.explode("w.observed_state").alias("s")).groupBy("s.node_url", "s.present").agg(
@@ -420,7 +412,7 @@ def revalidate_mismatches(spark, folder):
         F.col("document_key").alias("k"), F.struct("mismatch_type", "winner_node", "winner_cv").alias("f")
     )
     same = (F.col("f.mismatch_type") == F.col("p.mismatch_type")) & F.col("f.winner_node").eqNullSafe(F.col("p.winner_node")) & (
-        normalize(F.col("f.winner_cv")) == normalize(F.col("p.winner_cv"))
+        normalize(F.col("f.winner_cv"), ignored_ids(spark)) == normalize(F.col("p.winner_cv"), ignored_ids(spark))
     )
     outcome = F.when(F.col("k").isNull(), "ConsistentNow").when(same, "Unchanged").otherwise("ChangedStillInconsistent")
     return last.join(now, F.col("document_key") == F.col("k"), "left").select("document_key", outcome.alias("outcome"))
@@ -628,13 +620,7 @@ def observed_state_match(spark, folder):
     ).select("document_key", F.col("w.observed_state").alias("o"))
     now = _aligned(spark, folder).select(F.col("document_key").alias("k"), "states")
     both = last.join(now, F.col("document_key") == F.col("k"), "left")
-    state = lambda s: F.when(
-        s.present, F.concat_ws("|", key(F.coalesce(s.collection, F.lit(""))), normalize(s.change_vector))
-    )
-    of = lambda c, n: F.get(F.transform(F.filter(c, lambda s: key(s.node_url) == n.url.upper()), state), F.lit(0))
-    same = F.lit(True)
-    for n in nodes:
-        same = same & of("o", n).eqNullSafe(of("states", n))
+    same = recovery.observed_unchanged(F.col("o"), F.col("states"), nodes, ignored_ids(spark))
     return both.select("document_key", same.alias("unchanged"))
 
 
@@ -662,10 +648,10 @@ def delivery_rates(spark, folder):
 def page_diagnostics(spark, folder):
     """What was read and skipped on each page of the feeds."""
     kind, flags = F.col("item_type"), F.col("flags")
-    conflicted = F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == "CONFLICTED"), F.lit(False))
+    conflicted = F.coalesce(F.exists(F.split(flags, ","), lambda f: key(strip(f)) == fixed.CONFLICTED), F.lit(False))
     return _items(spark, folder).groupBy("node_url", "page_no").agg(
         F.count(F.lit(1)).alias("n_items"), F.count_if(is_live_document(kind, flags)).alias("n_live"), F.count_if(
-            F.coalesce(key(strip(kind)) != "DOCUMENT", F.lit(True))
+            F.coalesce(key(strip(kind)) != fixed.DOCUMENT, F.lit(True))
         ).alias("n_other_types"), F.count_if(conflicted).alias("n_conflicted"),
         F.count_if(F.col("etag").isNull()).alias("n_unreadable"), F.min("etag").alias("first_etag"), F.max("etag").alias("last_etag"), (
             F.count(F.lit(1)) - F.countDistinct(F.coalesce(key(F.col("id")), F.lit("")))

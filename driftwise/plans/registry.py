@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwise.plans import audit, problems
+from driftwise.plans import audit, problems, recovery
 
-QUERIES = {**problems.QUERIES, **audit.QUERIES}
-SQL = {**problems.SQL, **audit.SQL}
+QUERIES = {**problems.QUERIES, **audit.QUERIES, **recovery.QUERIES}
+SQL = {**problems.SQL, **audit.SQL, **recovery.SQL}

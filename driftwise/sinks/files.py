@@ -46,3 +46,15 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_u_{k}"))
     return current.join(named, on, "left_anti").unionByName(changes)
+
+
+def upsert_changed(current: DataFrame, changes: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """The rows of ``changes`` that an upsert has to write, with ``outcome``, inserted or updated: those whose keys ``current``
+    hasn't, and those that differ from its row in ``fields``. Nulls are equal to each other; either side has each key once."""
+    held = current.select(*[F.col(k).alias(f"_u_{k}") for k in keys], F.struct(*fields).alias("_held"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_u_{k}"))
+    joined = changes.join(held, on, "left").where(~F.struct(*fields).eqNullSafe(F.col("_held")))
+    outcome = F.when(F.col("_held").isNull(), "inserted").otherwise("updated")
+    return joined.withColumn("outcome", outcome).select(*changes.columns, "outcome")

@@ -14,9 +14,9 @@ def test_observed_states_of_redelivered_mismatches_count_once(spark, tmp_path):
     seen = lambda present: [("a", present, "Users", "v", "t"), ("b", True, "users", "v", "t")]
     rows = [("1", "r", datetime(2026, 1, 1), seen(True)), ("2", "r", datetime(2026, 1, 1), seen(True)), ("2", "r", datetime(2026, 1, 2), seen(False)), ("3", "r", None, seen(False)), ("3", "r", None, seen(False))]
     spark.createDataFrame(rows, STATE).write.parquet(f"{tmp_path}/mismatches.parquet")
-    got = registry.QUERIES["observed_states_all"](spark, str(tmp_path))
+    got = registry.QUERIES["observed_states"](spark, str(tmp_path))
     assert sorted(tuple(r) for r in got.select("node_url", "present", "n", "n_collections").collect()) == [("a", False, 2, 1), ("a", True, 1, 1), ("b", True, 3, 1)]
-    assert oracle.difference(got, oracle.connect(str(tmp_path)), registry.SQL["observed_states_all"]) == ""
+    assert oracle.difference(got, oracle.connect(str(tmp_path)), registry.SQL["observed_states"]) == ""
 
 
 def test_nodes_of_a_group_are_the_union_over_its_documents(spark):
