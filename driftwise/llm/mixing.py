@@ -21,13 +21,18 @@ def uniform(seed: int, identifier: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
 
 
-def mix_rates(records: DataFrame, source: str, size: str, targets: DataFrame, total: float | None = None) -> DataFrame:
+#: As ``total``: as many tokens as the sources with a target hold.
+ALL = "all"
+
+
+def mix_rates(records: DataFrame, source: str, size: str, targets: DataFrame, total: float | str | None = None) -> DataFrame:
     """For each source of ``targets``: ``source``, ``target_share``, ``max_repeats``, ``n_records``, ``n_tokens`` and ``rate``.
 
     Without ``total`` the mix is as large as the caps allow while every source with tokens keeps its share of it; with
-    ``total`` tokens wanted, a source whose cap binds falls short. Sources without tokens can give nothing: their rate is 0
+    ``total`` tokens wanted (a number, or :data:`ALL`), a source whose cap binds falls short and the mix with it. Sources without tokens can give nothing: their rate is 0
     and the shares of the others keep their proportions. Records of null or unknown source aren't used. Several targets
-    for a source add up, with the greatest cap; null, negative and zero shares and caps give rate 0."""
+    for a source add up, with the greatest cap; null, negative and zero shares and caps give rate 0, and of a
+    cap only its whole part counts."""
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(
         F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
@@ -41,20 +46,22 @@ def mix_rates(records: DataFrame, source: str, size: str, targets: DataFrame, to
         F.coalesce("n_records", F.lit(0)).alias("n_records"),
         F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
     )
-    usable = (F.col("n_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
+    usable = (F.col("n_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") >= 1)
     # one number for the whole table: the largest mix in which no cap binds
-    room = F.min(
-        F.when(usable, F.col("max_repeats") * F.col("n_tokens") / F.col("target_share"))
-    ) if total is None else F.lit(float(total)) / F.sum(F.when(usable, F.col("target_share")))
+    if total is None:
+        room = F.min(F.when(usable, F.col("max_repeats") * F.col("n_tokens") / F.col("target_share")))
+    else:
+        wanted_tokens = F.sum(F.when(usable, F.col("n_tokens"))).cast("double") if total == ALL else F.lit(float(total))
+        room = wanted_tokens / F.sum(F.when(usable, F.col("target_share")))
     scale = known.agg(room.alias("room")).scalar()
     rate = F.when(
-        usable, F.least(F.col("max_repeats").cast("double"), F.col("target_share") * scale / F.col("n_tokens"))
+        usable, F.least(F.floor("max_repeats").cast("double"), F.col("target_share") * scale / F.col("n_tokens"))
     ).otherwise(F.lit(0.0))
     return known.withColumn("rate", rate)
 
 
 def mix(
-    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None
+    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | str | None = None
 ) -> DataFrame:
     """One row for each copy: ``record_id``, ``source``, ``n_tokens`` and ``copy`` (from 1, at most max_repeats).
 
@@ -82,7 +89,7 @@ def small_side(rates: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_shares(
-    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | None = None
+    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, *, seed: int = 0, total: float | str | None = None
 ) -> DataFrame:
     """For each source of ``targets`` what :func:`mix_rates` has, and of the mix: ``mixed_records``, ``mixed_tokens`` and
     ``actual_share`` of all its tokens (null if the mix has none)."""

@@ -38,6 +38,22 @@ SPACE = re.compile(rb"[ \t\r\n]")
 SPACES = b" \t\r\n"
 
 
+def unbroken(text: bytes, pieces: list[tuple[int, int, int, str]], limit: int) -> bool:
+    """Whether the bisection had to cut a stretch of more than ``limit`` bytes without white space.
+
+    What is new in a piece is no longer than the limit, so a longer stretch has a cut inside, with no white space on either
+    side of it: only around such cuts the stretch is measured, at most ``limit`` bytes either way."""
+    for _, at, _, _ in pieces[1:]:
+        if text[at - 1] in SPACES or text[at] in SPACES:
+            continue
+        least = max(0, at - limit - 1)
+        before = max(text.rfind(bytes((c,)), least, at) for c in SPACES)
+        after = SPACE.search(text, at, min(len(text), at + limit + 1))
+        if (after.start() if after else min(len(text), at + limit + 1)) - (before + 1 if before >= 0 else least) > limit:
+            return True
+    return False
+
+
 def nearest(pattern: re.Pattern, text: bytes, low: int, high: int, middle: int) -> int:
     """Where a match in text[low:high] ends, nearest to ``middle`` and inside (low, high); -1 if there is none."""
     best = -1
@@ -124,7 +140,6 @@ def _cuts(text: Column, limit: int, overlap: int) -> Column:
     """The pieces of texts of more than ``limit`` bytes; null for others, whose bytes the Python worker doesn't get."""
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be from 0 to less than limit")
-    long = re.compile(rb"[^ \t\r\n]{%d}" % (limit + 1))
 
     @F.pandas_udf(PIECES)
     def cut(batch: pd.Series) -> pd.Series:
@@ -134,14 +149,9 @@ def _cuts(text: Column, limit: int, overlap: int) -> Column:
                 found.append(None)
                 continue
             data = bytes(t)
-            unbroken = long.search(data) is not None
-            found.append(
-                [
-                    {
-                        "first_byte": a, "new_byte": b, "end_byte": c, "cut": d, "unbroken": unbroken
-                    } for a, b, c, d in spans(data, limit, overlap)
-                ]
-            )
+            pieces = spans(data, limit, overlap)
+            hard = unbroken(data, pieces, limit)
+            found.append([{"first_byte": a, "new_byte": b, "end_byte": c, "cut": d, "unbroken": hard} for a, b, c, d in pieces])
         return pd.Series(found, dtype=object)
 
     return cut(F.when(F.octet_length(text) > limit, text.cast("binary")))
@@ -150,8 +160,8 @@ def _cuts(text: Column, limit: int, overlap: int) -> Column:
 def split_spans(texts: DataFrame, text_id: str, text: str, limit: int, overlap: int) -> DataFrame:
     """The pieces of texts of more than ``limit`` bytes, by position: ``text_id``, ``text``, ``piece`` (from 0), ``first_byte``
     and ``end_byte`` of the piece, ``new_byte`` (where the part begins that the piece before doesn't have), ``cut``: what the
-    piece starts at (start, section, paragraph, row, line, sentence, word or hard), and ``unbroken``: whether the text has
-    a stretch of more than ``limit`` bytes without white space. Only such a stretch is cut inside a word, and only where it
+    piece starts at (start, section, paragraph, row, line, sentence, word or hard), and ``unbroken``: whether a stretch of more
+    than ``limit`` bytes without white space was cut, as every text is that has one. Only such a stretch is cut inside a word, and only where it
     has no sentence end, as scripts without spaces have."""
     over = texts.where(F.octet_length(F.col(text)) > limit).select(F.col(text_id).alias("id"), F.col(text).alias("text"))
     return over.withColumn("cuts", _cuts(F.col("text"), limit, overlap)).select(

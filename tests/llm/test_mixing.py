@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from driftwise.llm.mixing import mix, mix_rates, mix_shares
+from driftwise.llm.mixing import ALL, mix, mix_rates, mix_shares
 
 TARGETS = [("big", 0.5, 1), ("small", 0.3, 4), ("gone", 0.1, 2), ("never", 0.1, 0), (None, 0.2, 1)]
 
@@ -44,6 +44,22 @@ def test_wanted_total(records, targets):
     assert rates["big"] == pytest.approx(16000 * 0.5 / 0.8 / tokens["big"]) and rates["small"] == pytest.approx(16000 * 0.3 / 0.8 / tokens["small"])
 
 
+def test_all_tokens_wanted(records, targets):
+    got = {r["source"]: r for r in mix_shares(records, "id", "source", "size", targets, seed=3, total=ALL).collect()}
+    held = got["big"]["n_tokens"] + got["small"]["n_tokens"]
+    assert got["big"]["rate"] == pytest.approx(min(1, held * 0.5 / 0.8 / got["big"]["n_tokens"]))
+    assert got["small"]["rate"] == pytest.approx(min(4, held * 0.3 / 0.8 / got["small"]["n_tokens"]))
+    assert got["small"]["actual_share"] < 0.3 / 0.8  # its cap binds, and it falls short
+    copies = mix(records, "id", "source", "size", targets, seed=3, total=ALL).where("source = 'small'").groupBy("id").count()
+    assert copies.agg({"count": "max"}).first()[0] == 4
+
+
+def test_only_whole_repeats_of_a_cap_count(spark, records):
+    targets = spark.createDataFrame([("big", 0.5, 1.0), ("small", 0.5, 2.5)], "source string, target_share double, max_repeats double")
+    copies = mix(records, "id", "source", "size", targets, seed=3, total=ALL).where("source = 'small'").groupBy("id").count()
+    assert copies.agg({"count": "max"}).first()[0] == 2
+
+
 def test_empty(spark, records, targets):
     assert mix(records.limit(0), "id", "source", "size", targets).count() == 0
     assert mix(records, "id", "source", "size", targets.limit(0)).count() == 0

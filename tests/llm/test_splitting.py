@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftwise.llm.splitting import spans, split_spans, split_texts
+from driftwise.llm.splitting import spans, split_spans, split_texts, unbroken
 
 PART = st.sampled_from(["word", "longer-word", " ", "  ", "\n", "\n\n", "\n== Heading ==\n", "\n|-\n| cell", ". ", "。", "ö", "日本語", "x" * 30, "\t", "\r\n", "🙂"])
 
@@ -24,6 +24,7 @@ def test_pieces_cover_the_text_under_the_limit(parts, limit, overlap):
         assert new - first <= overlap and (i > 0 or first == new)
         assert cut != "hard" or stretch > limit
         text[first:end].decode()  # no character is cut
+    assert unbroken(text, pieces, limit) == (stretch > limit)
 
 
 def test_the_strongest_boundary_near_the_middle_is_taken():
@@ -44,6 +45,13 @@ def test_a_sentence_end_far_from_the_middle_comes_before_a_cut_inside_a_word():
     assert [(new, cut) for _, new, _, cut in spans(text, 90, 0)] == [(0, "start"), (13, "sentence")]
 
 
+@pytest.mark.parametrize(("length", "hard"), [(90, False), (91, True), (300, True)])
+def test_a_stretch_is_measured_where_it_was_cut(length, hard):
+    for before, after in ((b"", b""), (b"a b ", b" c d" * 30), (b"x. " * 40, b"\ny" * 40)):
+        text = before + b"z" * length + after + b" " + b"w " * 60
+        assert unbroken(text, spans(text, 90, 10), 90) is hard
+
+
 def test_broken_bytes_are_kept():
     text = b"\x80" * 100
     pieces = spans(text, 30, 5)
