@@ -76,3 +76,8 @@ def thousands(number: Column) -> Column:
 def run_id(started: Column) -> Column:
     """The id of a run by its UTC start, with seven fractional digits; ids sort as their starts do."""
     return F.concat(F.lit("runs/"), F.date_format(started, "yyyyMMdd-HHmmssSSSSSS"), F.lit("0"))
+
+
+def is_url(text: Column) -> Column:
+    """Whether text is an address with a scheme of the web and a host; null for null."""
+    return text.rlike(r"^https?://[^/\s?#]+")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwise import fixed
 from driftwise.functions.vectors import blank, key
 from driftwise.operators.ranking import rank_within
+from driftwise.session import cut, small
 
 PLANNED, AMBIGUOUS, COLLECTION = fixed.PLANNED, fixed.SKIPPED_AMBIGUOUS, fixed.SKIPPED_COLLECTION
 GROUP = ["winner_node", "collection", "winner_cv"]
@@ -34,6 +35,17 @@ def without(rows: DataFrame, row_key: Column, excluded: DataFrame, excluded_key:
     return rows.withColumn("_key", row_key).join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
 
 
+def without_existing(rows: DataFrame, stored: DataFrame, row_id: str, fallback: Sequence[str]) -> DataFrame:
+    """Rows that ``stored`` has neither under their id nor, where it was stored under another, with the same ``fallback`` columns.
+    Nulls are equal to nothing."""
+    ids = stored.select(F.col(row_id).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    known = stored.select(*[F.col(c).alias(f"_f_{c}") for c in fallback]).dropna().distinct()
+    on = F.lit(True)
+    for c in fallback:
+        on = on & (F.col(c) == F.col(f"_f_{c}"))
+    return rows.join(ids, F.col(row_id) == F.col("_id"), "left_anti").join(known, on, "left_anti")
+
+
 def among(rows: DataFrame, row_key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
     """Rows whose key is wanted; the complement of :func:`without` but for null keys."""
     kept = wanted.select(wanted_key.alias("_kept")).distinct()
@@ -74,8 +86,9 @@ def plan_items(planned: DataFrame) -> DataFrame:
 
 
 def chunks(rows: DataFrame, by: Sequence[str], order: str, size: int) -> DataFrame:
-    """``rows`` with ``chunk``: the number, from 0, of the chunk of at most ``size`` rows within its group."""
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    """``rows`` with ``chunk``: the number, from 0, of the chunk of at most ``size`` rows within its group. Sizes of groups are
+    computed once, and broadcast if they are checked to be few, so that a hot group isn't shuffled to meet its size."""
+    sizes = small(cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))))
     return rank_within(rows, by, [order], sizes).withColumn("chunk", F.floor(F.col("rank") / size)).drop("rank")
 
 

@@ -163,6 +163,19 @@ def alignment_rows(aligned: DataFrame) -> DataFrame:
     return aligned.select("document_key", F.explode("states").alias("s")).select("document_key", "s.*")
 
 
+def looked_up(ids: DataFrame, aligned: DataFrame, nodes: Sequence[Node]) -> DataFrame:
+    """States of wanted documents (``document_key``, each once) on every node, as :func:`alignment_rows` gives them; what a node, or
+    every node, hasn't is there as absent."""
+    absent = F.array(*[
+        F.struct(F.lit(n.index).alias("node_idx"), F.lit(n.alias).alias("node"), F.lit(n.url).alias("node_url"), F.lit(False).alias("present")) for n in nodes
+    ])
+    states = aligned.select(F.col("document_key").alias("_k"), "states")
+    of = states.schema["states"].dataType
+    gone = F.transform(absent, lambda s: F.struct(s.node_idx, s.node, s.node_url, s.present, *[F.lit(None).cast(f.dataType).alias(f.name) for f in of.elementType.fields[4:]]))
+    joined = ids.join(states, F.col("document_key") == F.col("_k"), "left")
+    return alignment_rows(joined.select("document_key", F.coalesce("states", gone.cast(of)).alias("states")))
+
+
 def problem_candidates(rows: DataFrame, n_nodes: int) -> DataFrame:
     """Documents held by fewer than ``n_nodes`` rows or in more than one version, as written: ``document_key``, ``n_rows``,
     ``from_nodes``, ``n_nodes``, ``change_vectors`` (their number). ``rows``: one for each physical id.

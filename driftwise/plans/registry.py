@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftwise.plans import audit, problems, recovery
+from driftwise.plans import audit, problems, recovery, scans
 
-QUERIES = {**problems.QUERIES, **audit.QUERIES, **recovery.QUERIES}
-SQL = {**problems.SQL, **audit.SQL, **recovery.SQL}
+QUERIES = {**problems.QUERIES, **audit.QUERIES, **recovery.QUERIES, **scans.QUERIES}
+SQL = {**problems.SQL, **audit.SQL, **recovery.SQL, **scans.SQL}

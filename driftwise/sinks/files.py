@@ -58,3 +58,13 @@ def upsert_changed(current: DataFrame, changes: DataFrame, keys: list[str], fiel
     joined = changes.join(held, on, "left").where(~F.struct(*fields).eqNullSafe(F.col("_held")))
     outcome = F.when(F.col("_held").isNull(), "inserted").otherwise("updated")
     return joined.withColumn("outcome", outcome).select(*changes.columns, "outcome")
+
+
+def page_index(rows: DataFrame, page: list[str], order: str, fields: list[str]) -> DataFrame:
+    """Each page of a cache with its rows, its first and last id, and the SHA-256 digest of its payload: rows by ``order``, in lines,
+    fields between tabs, nulls as empty ones. ``page`` must bound the rows of a page, whose payload is made in one task."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(f), F.lit("")) for f in fields])
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x.line)
+    return rows.groupBy(*page).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.upper(F.sha2(F.array_join(lines, "\n"), 256)).alias("digest")
+    )

@@ -46,10 +46,11 @@ def first_seen(items: DataFrame) -> DataFrame:
     ).agg(F.min(order).alias("w")).select("node_url", "page_no", "document_key", "w.etag", "w.feed_seq")
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a segment cache, with the segment they are of; ``lm`` as a UTC timestamp."""
-    rows = spark.read.schema(CACHE_ROW).json(path)
-    return rows.withColumn("lm", parse_iso(F.col("lm"))).withColumn("segment", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+def read_cache(spark: SparkSession, path: str, after: str | None = None) -> DataFrame:
+    """Rows of a segment cache, with the segment they are of; ``lm`` as a UTC timestamp. ``after``: the last segment that was read
+    whole, as a reader that goes on where it stopped knows it; the files of it and of those before aren't opened."""
+    rows = spark.read.schema(CACHE_ROW).json(path).withColumn("lm", parse_iso(F.col("lm"))).withColumn("segment", F.col("_metadata.file_name"))
+    return rows if after is None else rows.where(F.col("segment") > after)
 
 
 def keyset_page(rows: DataFrame, after: str | None, size: int) -> DataFrame:

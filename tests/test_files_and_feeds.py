@@ -43,6 +43,8 @@ def test_cache_round_trip(spark, tmp_path):
     assert rows(back.drop("segment")) == sorted(data, key=repr)
     parts = manifest(back)
     assert sorted(r["n_rows"] for r in parts.collect()) == [10, 20, 20]
+    first = min(r["segment"] for r in parts.collect())
+    assert rows(read_cache(spark, f"{tmp_path}/cache", after=first)) == rows(back.where(F.col("segment") != first)) and back.where(F.col("segment") == first).count() == 20
     assert [r["id"] for r in keyset_page(back, "id/48", 2).collect()] == ["id/49", "id/5"] and len(keyset_page(back, None, 7).collect()) == 7
 
 
