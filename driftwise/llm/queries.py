@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from driftwise.llm.mixing import ALL, mix, mix_shares
 from driftwise.llm.packing import pack
-from driftwise.llm.splitting import split_spans, split_texts
+from driftwise.llm.splitting import split_spans, split_texts, split_tokens
 from driftwise.llm.tokens import bpe_tokens, byte_tokens
 from driftwise.session import cut
 from driftwise.sources.tables import table
 
 #: Tokens (bytes) of a container and of the largest piece, and of the overlap of consecutive pieces.
 CAPACITY, LIMIT, OVERLAP = 8192, 8192, 256
-#: Tokens of a container for BPE sizes.
-BPE_CAPACITY = 2048
+#: Tokens of a container for BPE sizes, and of the largest piece and the overlap.
+BPE_CAPACITY, BPE_LIMIT, BPE_OVERLAP = 2048, 2048, 64
 SEED = 20260101
 
 
@@ -179,6 +179,19 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p8_bpe_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold of the pieces by BPE tokens of each text: the bytes that they cover one after the other, and whether none is
+    over the limit."""
+    pieces = split_tokens(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", BPE_LIMIT, BPE_OVERLAP, bpe_vocabulary(spark))
+    return pieces.groupBy("doc_id").agg(
+        F.sum(F.col("end_byte") - F.col("new_byte")).cast("bigint").alias("n_bytes"),
+        F.max("end_byte").cast("bigint").alias("end"),
+        (F.max("n_tokens") <= BPE_LIMIT).alias("fits"),
+        (F.count_if((F.col("piece") > 0) & (F.col("end_byte") <= F.col("new_byte"))) == 0).alias("all_new"),
+    )
+
+
+P8_BPE_FACTS_SQL = """SELECT doc_id, strlen(text) AS n_bytes, strlen(text) AS "end", true AS fits, true AS all_new FROM documents WHERE text IS NOT NULL"""
 LONGEST = r"list_max(list_transform(regexp_split_to_array(text, '[ \t\r\n]'), lambda w: strlen(w)))"
 P8_FOUND_SQL = f"SELECT doc_id, CASE WHEN {LONGEST} > {LIMIT} THEN 'hard' ELSE 'boundary' END AS cut FROM documents WHERE strlen(text) > {LIMIT}"
 P8_ROUND_TRIP_SQL = f"""SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS digest, true AS fits, true AS overlaps, strlen(text) > {LIMIT} AND {LONGEST} > {LIMIT} AS cuts_words
@@ -187,9 +200,9 @@ P8_ROUND_TRIP_SQL = f"""SELECT doc_id, strlen(text) AS n_bytes, md5(text) AS dig
 QUERIES = {
     "p6_containers": p6_containers, "p6_container_fill": p6_container_fill, "p6_containers_bpe": p6_containers_bpe, "p6_bpe_facts": p6_bpe_facts,
     "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_even_mix": p7_even_mix, "p7_even_shares": p7_even_shares,
-    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_round_trip": p8_round_trip,
+    "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_round_trip": p8_round_trip, "p8_bpe_facts": p8_bpe_facts,
 }
 SQL = {
     "p6_containers": P6_SQL, "p6_container_fill": P6_FILL_SQL, "p6_bpe_facts": P6_BPE_FACTS_SQL, "p7_mix": P7_MIX_SQL, "p7_shares": P7_SHARES_SQL,
-    "p7_even_mix": P7_EVEN_MIX_SQL, "p7_even_shares": P7_EVEN_SHARES_SQL, "p8_found": P8_FOUND_SQL, "p8_round_trip": P8_ROUND_TRIP_SQL,
+    "p7_even_mix": P7_EVEN_MIX_SQL, "p7_even_shares": P7_EVEN_SHARES_SQL, "p8_found": P8_FOUND_SQL, "p8_round_trip": P8_ROUND_TRIP_SQL, "p8_bpe_facts": P8_BPE_FACTS_SQL,
 }

@@ -2,7 +2,8 @@
 
 Recursive bisection: a text, as UTF-8 bytes, is cut at the strongest boundary near its midpoint (section, paragraph, row or
 line, sentence, word, in this order of strength); halves that still exceed the limit less the overlap are cut again; last,
-each piece is extended backwards by the overlap. Sizes are tokens of the byte tokenizer, one for each byte.
+each piece is extended backwards by the overlap. Sizes are tokens of the byte tokenizer, one for each byte, or of any
+tokenizer that counts the tokens of a range (:func:`split_tokens`).
 
 Only where there is neither white space nor a sentence end to cut at inside a stretch longer than the limit is a word cut,
 between characters. A
@@ -16,11 +17,15 @@ Nothing is shuffled.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.llm.tokens import bpe_counter
+
 #: Cut before the match's end, strongest first: the boundary is where the match ends.
 SECTION = rb"\n(?==)|\n(?=#)"
 PARAGRAPH = rb"\n[ \t\r]*\n\s*"
@@ -75,8 +80,8 @@ def between_characters(text: bytes, at: int, low: int, high: int) -> int:
     return at
 
 
-def boundary(text: bytes, start: int, end: int, whole: int) -> tuple[int, str]:
-    """Where to cut text[start:end], and at what; (-1, '') if it is a word of at most ``whole`` bytes."""
+def boundary(text: bytes, start: int, end: int, fits: Callable[[], bool]) -> tuple[int, str]:
+    """Where to cut text[start:end], and at what; (-1, '') if it is a word that ``fits`` as a whole."""
     middle, reach = (start + end) // 2, (end - start) // 4
     for name, pattern in LEVELS:
         at = nearest(pattern, text, max(start, middle - reach), min(end, middle + reach), middle)
@@ -93,7 +98,7 @@ def boundary(text: bytes, start: int, end: int, whole: int) -> tuple[int, str]:
     places = [p for x in ((after.start() if after else -1), before) if x >= 0 for p in (x + 1, x) if start < p < end]
     if places:
         return min(places, key=lambda p: abs(p - middle)), "word"
-    if end - start <= whole:
+    if fits():
         return -1, ""
     # before a word is cut: a boundary far from the middle, as scripts without spaces have
     for name, pattern in LEVELS:
@@ -103,14 +108,18 @@ def boundary(text: bytes, start: int, end: int, whole: int) -> tuple[int, str]:
     return between_characters(text, middle, start, end), "hard"
 
 
-def spans(text: bytes, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
-    """Pieces (start with overlap, start of what is new, end, the boundary at which it starts) of a text over ``limit``."""
+def spans(text: bytes, limit: int, overlap: int, size: Callable[[int, int], int] | None = None) -> list[tuple[int, int, int, str]]:
+    """Pieces (start with overlap, start of what is new, end, the boundary at which it starts) of a text over ``limit``.
+
+    ``size``: the tokens of text[a:b], by default its bytes; no more than its bytes, and not much less than those of a part."""
+    of = size or (lambda a, b: b - a)
     room, pieces, todo = limit - overlap, [], [(0, len(text), "start", "end")]
     while todo:
         start, end, cut, next_cut = todo.pop()
         # what is left of a word that was cut is no word to keep, but a character (of up to 4 bytes) is
         whole = min(limit, max(room, 4)) if "hard" in (cut, next_cut) else limit
-        at, name = boundary(text, start, end, whole) if end - start > room else (-1, "")
+        fits = lambda: of(start, end) <= whole  # noqa: B023, E731, called at once
+        at, name = boundary(text, start, end, fits) if of(start, end) > room else (-1, "")
         if at < 0:
             pieces.append((start, end, cut))
         else:
@@ -118,13 +127,30 @@ def spans(text: bytes, limit: int, overlap: int) -> list[tuple[int, int, int, st
     out = []
     for i, (start, end, cut) in enumerate(pieces):
         back = start
-        if i:
+        if i and size is None:
             least = max(pieces[i - 1][0], start - min(overlap, limit - (end - start)))
             back = start if least >= start else _overlap_start(text, least, start)
+        elif i:
+            back = _overlap_by_tokens(text, pieces[i - 1][0], start, end, limit, overlap, of)
         out.append((back, start, end, cut))
     return out
 
 
+def _overlap_by_tokens(text: bytes, first: int, start: int, end: int, limit: int, overlap: int, size: Callable[[int, int], int]) -> int:
+    """Where a piece begins that repeats as much of what is before ``start`` (from ``first`` on) as it may. As many bytes as tokens
+    are wanted are never too many tokens; ten times as many are tried, by bisection."""
+    fits = lambda at: size(at, start) <= overlap and size(at, end) <= limit
+    good, far = start, max(first, start - 10 * overlap)
+    near = max(first, start - overlap)
+    if near < start and fits(near):
+        good = near
+        while good - far > 1:
+            middle = (good + far) // 2
+            good, far = (middle, far) if fits(middle) else (good, middle)
+    back = start if good >= start else _overlap_start(text, good, start)
+    return back if back < start and fits(back) else start
+
+
 def _overlap_start(text: bytes, least: int, start: int) -> int:
     """The first beginning of a word in text[least:start], else of a character."""
     if least and text[least - 1] not in SPACES and text[least] not in SPACES:
@@ -197,3 +223,31 @@ def split_texts(texts: DataFrame, text_id: str, text: str, limit: int, overlap:
     return found.select(
         F.col("id").alias(text_id), "piece", "first_byte", "new_byte", length.alias("n_tokens"), "cut", part.alias("piece_text")
     )
+
+
+TOKEN_PIECES = "array<struct<first_byte:int,new_byte:int,end_byte:int,n_tokens:int,cut:string>>"
+
+
+def split_tokens(texts: DataFrame, text_id: str, text: str, limit: int, overlap: int, vocabulary: str) -> DataFrame:
+    """All texts as pieces of at most ``limit`` tokens of a byte-level BPE, whose ranks file ``vocabulary`` every executor must be
+    able to read, by position: ``text_id``, ``piece`` (from 0), ``first_byte``, ``new_byte``, ``end_byte``, ``n_tokens``, ``cut``.
+
+    Cuts and cases as in :func:`split_texts`; the tokens of a piece are counted as they are when it is encoded alone. What is
+    repeated has at most ``overlap`` tokens, and about as many where words allow it."""
+    if not 0 <= overlap <= limit - 4:
+        raise ValueError("overlap must be from 0 to limit - 4: a character may have four tokens")
+
+    @F.pandas_udf(TOKEN_PIECES)
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = bpe_counter(vocabulary)
+        for batch in batches:
+            found: list[list[dict] | None] = []
+            for t in batch:
+                data = bytes(t)
+                size = lru_cache(None)(lambda a, b: tokens(data[a:b]))  # noqa: B023, used at once
+                pieces = spans(data, limit, overlap, size) if size(0, len(data)) > limit else [(0, 0, len(data), "start")]
+                found.append([{"first_byte": a, "new_byte": b, "end_byte": c, "n_tokens": size(a, c), "cut": d} for a, b, c, d in pieces])
+            yield pd.Series(found, dtype=object)
+
+    held = texts.where(F.col(text).isNotNull()).select(F.col(text_id).alias("id"), cut(F.col(text).cast("binary")).alias("cuts"))
+    return held.select(F.col("id").alias(text_id), F.posexplode("cuts").alias("piece", "c")).select(text_id, "piece", "c.*")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +18,16 @@ def byte_tokens(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
 
 
+def bpe_counter(vocabulary: str) -> Callable[[bytes], int]:
+    """A function that counts the tokens of a text's bytes, made once in a worker."""
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("ranks", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text.decode("utf-8", "replace")))
+
+
 def bpe_tokens(text: Column, vocabulary: str) -> Column:
     """Tokens of a byte-level BPE, given the path of its ranks file (.tiktoken), which every executor must be able to read.
 
@@ -25,14 +35,8 @@ def bpe_tokens(text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("ranks", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        tokens = bpe_counter(vocabulary)
         for texts in batches:
-            yield pd.Series(
-                [0 if t is None else len(encoding.encode_ordinary(bytes(t).decode("utf-8", "replace"))) for t in texts], dtype="int64"
-            )
+            yield pd.Series([0 if t is None else tokens(bytes(t)) for t in texts], dtype="int64")
 
     return count(text.cast("binary"))

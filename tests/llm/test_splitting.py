@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from driftwise.llm.splitting import spans, split_spans, split_texts, unbroken
+from driftwise.llm.splitting import spans, split_spans, split_texts, split_tokens, unbroken
 
 PART = st.sampled_from(["word", "longer-word", " ", "  ", "\n", "\n\n", "\n== Heading ==\n", "\n|-\n| cell", ". ", "。", "ö", "日本語", "x" * 30, "\t", "\r\n", "🙂"])
 
@@ -78,3 +78,34 @@ def test_very_long_text(spark):
     got = split_texts(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text", 8192, 256)
     assert got.agg(F.max("n_tokens")).first()[0] <= 8192
     assert sum(r["n_tokens"] - (r["new_byte"] - r["first_byte"]) for r in got.select("n_tokens", "new_byte", "first_byte").collect()) == len(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PART, min_size=1, max_size=80), st.integers(12, 40), st.integers(0, 8))
+def test_pieces_by_tokens(parts, limit, overlap):
+    text = "".join(parts).encode()
+    tokens = lambda a, b: -(-len(text[a:b]) // 3) + text[a:b].count(b"x") // 4  # noqa: E731, any count that bytes bound
+    if tokens(0, len(text)) <= limit:
+        return
+    pieces = spans(text, limit, overlap, tokens)
+    assert b"".join(text[new:end] for _, new, end, _ in pieces) == text
+    for i, (first, new, end, _) in enumerate(pieces):
+        assert new < end and tokens(first, end) <= limit and tokens(first, new) <= overlap and (i > 0 or first == new)
+        text[first:end].decode()
+
+
+def test_split_tokens(spark):
+    from driftwise.llm.queries import bpe_vocabulary
+    from driftwise.llm.tokens import bpe_counter
+
+    tokens = bpe_counter(bpe_vocabulary(spark))
+    long = "The quick brown fox jumps over the lazy dog. " * 60 + "日本語の文章。" * 80
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, ""), (4, None)], "doc_id long, text string")
+    got = split_tokens(df, "doc_id", "text", 100, 20, bpe_vocabulary(spark)).orderBy("doc_id", "piece").collect()
+    assert [(r["doc_id"], r["n_tokens"]) for r in got if r["doc_id"] > 1] == [(2, 1), (3, 0)]
+    data, pieces = long.encode(), [r for r in got if r["doc_id"] == 1]
+    assert b"".join(data[r["new_byte"] : r["end_byte"]] for r in pieces) == data
+    assert all(r["n_tokens"] == tokens(data[r["first_byte"] : r["end_byte"]]) <= 100 and tokens(data[r["first_byte"] : r["new_byte"]]) <= 20 for r in pieces)
+    assert sum(r["first_byte"] < r["new_byte"] for r in pieces) > len(pieces) // 2
+    with pytest.raises(ValueError):
+        split_tokens(df, "doc_id", "text", 10, 8, bpe_vocabulary(spark))
