@@ -138,17 +138,21 @@ def spans(text: bytes, limit: int, overlap: int, size: Callable[[int, int], int]
 
 def _overlap_by_tokens(text: bytes, first: int, start: int, end: int, limit: int, overlap: int, size: Callable[[int, int], int]) -> int:
     """Where a piece begins that repeats as much of what is before ``start`` (from ``first`` on) as it may. As many bytes as tokens
-    are wanted are never too many tokens; ten times as many are tried, by bisection."""
-    fits = lambda at: size(at, start) <= overlap and size(at, end) <= limit
-    good, far = start, max(first, start - 10 * overlap)
-    near = max(first, start - overlap)
-    if near < start and fits(near):
-        good = near
-        while good - far > 1:
+    are wanted are never too many tokens; ten times as many are tried, by bisection over what is repeated alone. The piece
+    as a whole is counted last, and gets a little less where the two together have more tokens than apart."""
+    room = limit - size(start, end)
+    for spare in (0, 4, 16):
+        most = min(overlap, room) - spare
+        if most <= 0:
+            break
+        good, far = max(first, start - most), max(first, start - 10 * most)
+        while good - far > 8:
             middle = (good + far) // 2
-            good, far = (middle, far) if fits(middle) else (good, middle)
-    back = start if good >= start else _overlap_start(text, good, start)
-    return back if back < start and fits(back) else start
+            good, far = (middle, far) if size(middle, start) <= most else (good, middle)
+        back = start if good >= start else _overlap_start(text, good, start)
+        if back < start and size(back, start) <= overlap and size(back, end) <= limit:
+            return back
+    return start
 
 
 def _overlap_start(text: bytes, least: int, start: int) -> int:
