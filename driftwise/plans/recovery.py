@@ -268,6 +268,8 @@ def health_status(spark, folder):
 HASH = f"upper(sha256(upper(id) || chr(10) || {cv_norm('change_vector')}))"
 PAGES = f"v AS (SELECT node_url, page_no, {HASH} AS hash FROM iteration_items WHERE {LIVE} AND {present('id')} AND {ETAG} IS NOT NULL)"
 STORED_PAGES = 20
+#: Steps in which a backlog of batches is taken, however many there are.
+BACKLOG_STEPS = 4
 
 
 @query(f"WITH {PAGES} SELECT DISTINCT hash FROM v WHERE page_no > {STORED_PAGES} AND hash NOT IN (SELECT hash FROM v WHERE page_no <= {STORED_PAGES})")
@@ -285,12 +287,19 @@ def new_versions(spark, folder):
 SELECT node_url, document_key, e AS etag, feed_seq FROM f QUALIFY row_number() OVER (PARTITION BY node_url, document_key ORDER BY page_no // {STORED_PAGES}, e, feed_seq) = 1""")
 def first_verdicts(spark, folder):
     """Live documents of each node's feed once, as first seen, though they come again on later pages: a store of what was seen
-    takes pages in batches."""
-    live = audit._live(spark, folder).select("node_url", "id", "etag", "feed_seq", "page_no").withColumn("guard", once_a_run(F.hex("node_url"), F.col("id")))
-    store = DeliveryStore(spark, scratch(spark, "guards"), live.schema, "guard", lambda: F.lit(0), ["etag", "feed_seq"])
-    last = live.agg(F.max("page_no").alias("p")).first()["p"]
-    for batch in range(0 if last is None else last // STORED_PAGES + 1):
-        store.accept(f"{batch:08d}", live.where(F.floor(F.col("page_no") / STORED_PAGES) == batch))
+    takes pages in batches. What waits is taken in a fixed number of steps, each of as many batches as come to it, and the batch
+    comes first in the store's order, so a step keeps what its batches one after the other would."""
+    run = F.coalesce(F.concat(F.lit("="), "node_url"), F.lit(""))  # no node isn't a node without name
+    live = audit._live(spark, folder).select("node_url", "id", "etag", "feed_seq", F.expr(f"page_no div {STORED_PAGES}").alias("batch_no")).withColumn("guard", once_a_run(run, F.col("id")))
+    # what has no number comes last
+    order = [F.col("batch_no").isNull(), "batch_no", "etag", F.col("feed_seq").isNull(), "feed_seq"]
+    store = DeliveryStore(spark, scratch(spark, "guards"), live.schema, "guard", lambda: F.lit(0), order)
+    have = live.agg(F.count(F.lit(1)).alias("n"), F.min("batch_no").alias("least"), F.max("batch_no").alias("most")).first()
+    batches = 1 if have["least"] is None else have["most"] - have["least"] + 1
+    steps = min(BACKLOG_STEPS, batches) if have["n"] else 0
+    step = F.coalesce(F.floor((F.col("batch_no") - have["least"]) * steps / batches), F.lit(steps - 1))
+    for number in range(steps):
+        store.accept(f"{number:08d}", live.where(step == number))
     return store.rows().select("node_url", key(F.col("id")).alias("document_key"), "etag", "feed_seq")
 
 

@@ -25,7 +25,7 @@ LEAST_WORDS = 2**12
 
 class DeliveryStore:
     """``identifier``: the column that says what a message is; ``bucket``: a function of rows to an int column, their time
-    bucket (null: -1); ``order``: columns by which the first of several copies within a batch is chosen.
+    bucket (null: -1); ``order``: columns, or expressions of them, by which the first of several copies within a batch is chosen.
 
     All filters have the same number of 64-bit words, at least one for each four identifiers of the whole store, so what a batch
     is probed against, the filters of all buckets together, lets less than 1 % of new identifiers through to exact lookups. A
@@ -42,7 +42,7 @@ class DeliveryStore:
         schema: T.StructType,
         identifier: str,
         bucket: Callable[[], Column],
-        order: Sequence[str],
+        order: Sequence[str | Column],
         least_words: int = LEAST_WORDS,
     ) -> None:
         self.spark, self.path, self.schema, self.identifier, self.bucket, self.order, self.least_words = spark, path, schema, identifier, bucket, list(order), least_words
