@@ -13,9 +13,9 @@ Leftovers of a key are gathered only if they are at most ``exact_rows``; these a
   nothing else, so components are paired apart, each exactly, and what is left of them in any way whatever: the pairs that
   agree are the same in number and weight as those of the whole key.
 
-Only a single component of more than ``exact_classes`` classes is paired in stages: rows that agree in most fields first, by
-rank within the values they agree in. That is whole too (every row is paired or missing, as many pairs as there can be), but
-where rows compete for partners its cost can exceed the minimum; ``pairing`` says which way a row took.
+A component of up to ``exact_classes`` classes is solved over a table of all pairs of its classes, a larger one over the values
+that they share (:mod:`driftwise.operators.shared_flow`), in stages by what a pair gains; ``pairing`` says which way a row took.
+The cost is least either way, whatever the limits are; which of equally cheap pairings is taken isn't told by them.
 """
 
 from __future__ import annotations
@@ -29,11 +29,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from driftwise.operators.ranking import join_spread, rank_within, repeated, same
+from driftwise.operators.shared_flow import shared_flow
 from driftwise.session import cut
 
 #: Leftover rows of a key, both sides together, up to which they are paired exactly in one task.
 EXACT_ROWS = 256
-#: Classes of leftovers of a key or of a component of it, both sides together, up to which they are paired exactly.
+#: Classes of leftovers of a key or of a component of it, both sides together, up to which a table of their pairs is made.
 EXACT_CLASSES = 1024
 
 
@@ -254,7 +255,7 @@ def _components(classes: DataFrame) -> DataFrame:
 
 
 def _large(rest: DataFrame, names: Sequence[str], exact_classes: int) -> DataFrame:
-    """Pairs of keys with many leftovers: through classes, of the key or of its components, else in stages."""
+    """Pairs of keys with many leftovers: through classes, of the key or of its components."""
     marked = cut(_shared(rest, names).withColumn("name", F.md5(F.to_json(F.struct("sign", "values")))))
     classes = marked.groupBy("k", "name", "sign").agg(F.sum(F.abs("net")).alias("n"), F.any_value("values").alias("values"))
     counts = cut(classes.groupBy(F.col("k").alias("ck")).agg(F.count(F.lit(1)).alias("n_classes")))
@@ -275,7 +276,10 @@ def _large(rest: DataFrame, names: Sequence[str], exact_classes: int) -> DataFra
     lists = lambda sign: F.sort_array(F.collect_list(F.when(F.col("sign") == sign, cell)))
     solved = solvable.groupBy(*part).agg(lists(1).alias("ls"), lists(-1).alias("rs")).select(
         F.col("k").alias("mk"), F.explode(F.pandas_udf(_flows, "array<struct<lc:string,rc:string,n:bigint>>")("ls", "rs")).alias("m")
-    ).select("mk", "m.*")
+    ).select("mk", "m.*", F.lit("exact").alias("pairing"))
+    large = sizes.where((F.col("n_classes") > exact_classes) & F.expr("least < most"))
+    if parted:
+        solved = solved.unionByName(_by_shared(classes, large, names))
     before = lambda c: F.coalesce(
         F.sum("n").over(W.partitionBy("mk", c).orderBy("lc", "rc").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
     )
@@ -286,16 +290,16 @@ def _large(rest: DataFrame, names: Sequence[str], exact_classes: int) -> DataFra
 
     def moved(sign: int, of_class: str, start: str) -> DataFrame:
         mine = placed.where(F.col("sign") == sign)
-        ways = moves.select("mk", F.col(of_class).alias("mc"), F.struct("lc", "rc").alias("way"), F.col(start).alias("start"), "n")
+        ways = moves.select("mk", F.col(of_class).alias("mc"), F.struct("lc", "rc").alias("way"), F.col(start).alias("start"), "n", "pairing")
         met = join_spread(mine, ways, [("k", "mk"), ("name", "mc")], by=["row", "copy"])
         at = F.col("rank") - F.col("start")
         return met.where(at.between(F.lit(0), F.col("n") - 1)).select(
-            "k", "row", "copy", "sign", "n_left", "n_right", F.struct("k", "way", at.alias("at")).alias("move")
+            "k", "row", "copy", "sign", "pairing", "n_left", "n_right", F.struct("k", "way", at.alias("at")).alias("move")
         )
 
     l, r = cut(moved(1, "lc", "l_from")), cut(moved(-1, "rc", "r_from"))  # noqa: E741
     out = l.alias("l").join(r.alias("r"), F.col("l.move") == F.col("r.move")).select(
-        "l.k", F.col("l.row").alias("l"), F.col("r.row").alias("r"), F.lit("exact").alias("pairing"), "l.n_left", "l.n_right"
+        "l.k", F.col("l.row").alias("l"), F.col("r.row").alias("r"), "l.pairing", "l.n_left", "l.n_right"
     )
     gone = l.unionAll(r).select(F.col("k").alias("gk"), F.col("row").alias("gr"), F.col("copy").alias("gc"), F.col("sign").alias("gs"))
     mine = ["k", "row", "copy", "sign"]
@@ -303,19 +307,33 @@ def _large(rest: DataFrame, names: Sequence[str], exact_classes: int) -> DataFra
     if not parted:
         # a key of one part has paired as many rows as it can
         return out.unionAll(_alone(open_rows.withColumn("pairing", F.lit("exact")), names, rest))
-    open_rows = open_rows.join(sizes.where((F.col("n_classes") > exact_classes) & F.expr("least < most")), same(part, ["ck", "cc"]), "left").select(
+    open_rows = open_rows.join(large, same(part, ["ck", "cc"]), "left").select(
         *mine, "component", "n_left", "n_right", F.when(F.col("n_classes").isNotNull(), "staged").otherwise("exact").alias("pairing")
     )
-    open_rows = cut(open_rows)
-    found = []
-    if open_rows.where("pairing = 'staged'").limit(1).count():
-        found, left = _staged(open_rows.where("pairing = 'staged'"), names)
-        open_rows = open_rows.where("pairing = 'exact'").unionByName(left)
-    # rows of different components, and what the stages leave, agree in nothing that not all rows of the key do
+    # rows of different components, and what a component leaves, agree in nothing that not all rows of the key do
     rest_pairs, left = _stage(open_rows, F.col("k"))
-    for pairs in [*found, rest_pairs]:
-        out = out.unionAll(pairs)
-    return out.unionAll(_alone(left, names, rest))
+    return out.unionAll(rest_pairs).unionAll(_alone(left, names, rest))
+
+
+def _by_shared(classes: DataFrame, large: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Moves within the ``large`` components (``ck``, ``cc``), each in one task, whose memory grows with its classes."""
+    # numbered, as keys of all types must come back as they are
+    parts = cut(large.select("ck", "cc", F.monotonically_increasing_id().alias("part")))
+    cells = join_spread(classes, parts, [("k", "ck"), ("component", "cc")], by=["name"]).select(
+        "part", "name", (F.col("sign") > 0).alias("is_left"), "n", *[F.col("values")[i].alias(f"v{i}") for i in range(len(names))]
+    )
+    moves = cells.groupBy("part").applyInPandas(_shared_moves, "part bigint, lc string, rc string, n bigint")
+    return moves.withColumnRenamed("part", "of").join(parts, F.col("of") == F.col("part")).select(
+        F.col("ck").alias("mk"), "lc", "rc", "n", F.lit("staged").alias("pairing")
+    )
+
+
+def _shared_moves(cells: pd.DataFrame) -> pd.DataFrame:
+    cells = cells.sort_values("name", ignore_index=True)
+    values = cells[[c for c in cells.columns if c[0] == "v"]].to_numpy(dtype=np.int64)
+    left, right, n = shared_flow(values, cells["is_left"].to_numpy(dtype=bool), cells["n"].to_numpy(dtype=np.int64))
+    name = cells["name"].to_numpy()
+    return pd.DataFrame({"part": np.full(len(n), cells["part"].iloc[0]), "lc": name[left], "rc": name[right], "n": n})
 
 
 def _alone(rows: DataFrame, names: Sequence[str], rest: DataFrame) -> DataFrame:
@@ -346,18 +364,3 @@ def _stage(rows: DataFrame, *by: Column) -> tuple[DataFrame, DataFrame]:
         "l.k", F.col("l.row").alias("l"), F.col("r.row").alias("r"), F.when(staged, "staged").otherwise("exact").alias("pairing"), "l.n_left", "l.n_right"
     )
     return pairs, ranked.where(F.col("rank") >= F.col("m")).select(*rows.columns)
-
-
-def _staged(rows: DataFrame, names: Sequence[str]) -> tuple[list[DataFrame], DataFrame]:
-    """Pairs within components of any size, most fields first, and the rows that stay. The fields to agree in are neighbours, the
-    last being next to the first, all but one of them, then half of that many and so on (of up to four fields: any number), so
-    there are d log d stages for d fields, not 2^d."""
-    out, sizes = [], list(range(len(names) - 1, 0, -1))
-    if len(names) > 4:
-        sizes = sorted({len(names) - 1, *(len(names) >> i for i in range(1, len(names).bit_length()))}, reverse=True)
-    for size in sizes:
-        for first in range(len(names)):
-            agree = [F.col("row")[names[(first + i) % len(names)]].alias(f"a{i}") for i in range(size)]
-            pairs, rows = _stage(rows, F.col("k"), F.col("component"), *agree)
-            out.append(pairs)
-    return out, rows

@@ -15,6 +15,7 @@ from driftwise.operators.copy_diff import assign, diff_copies, transport
 from driftwise.operators.delivery_dedup import deduplicate
 from driftwise.operators.eager_aggregate import aggregate_join, heavy_groups
 from driftwise.operators.ranking import rank_within
+from driftwise.operators.shared_flow import shared_flow
 from driftwise.operators.snapshot_changes import snapshot_changes, validity_intervals
 from driftwise.plans import problems
 from driftwise.session import scratch
@@ -174,6 +175,33 @@ def test_components_cost_as_little_as_rows(spark, seed):
             assert sorted((tuple(g[side]) for g in by_rows if g[side]), key=repr) == sorted((tuple(g[side]) for g in got if g[side]), key=repr)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_a_component_of_any_size_costs_as_little_as_rows(spark, seed):
+    # few values, so that all rows are one component in which they compete for partners
+    random.seed(seed)
+    sides = [[("hot", *(f"{random.randrange(12)}" for _ in range(3))) for _ in range(90 + 20 * side)] for side in (0, 1)]
+    by_rows, by_parts = (diffs(spark, *sides, **more).collect() for more in ({"exact_rows": 5000}, {"exact_rows": 10, "exact_classes": 10}))
+    assert {g["pairing"] for g in by_parts} == {"staged"}
+    assert len({sum(len(g["differing"]) for g in got if g["side"] == "both") for got in (by_rows, by_parts)}) == 1
+    assert sorted(g["side"] for g in by_rows) == sorted(g["side"] for g in by_parts)
+    for side in "lr":
+        assert sorted(tuple(g[side]) for g in by_rows if g[side]) == sorted(tuple(g[side]) for g in by_parts if g[side])
+
+
+def test_flow_through_shared_values_agrees_as_much_as_there_can_be():
+    rng = np.random.default_rng(7)
+    for _ in range(100):
+        d, a, b, kinds = rng.integers(1, 6), *rng.integers(1, 12, 2), rng.integers(2, 8)
+        values, amount, is_left = rng.integers(0, kinds, (a + b, d)), rng.integers(1, 4, a + b), np.arange(a + b) < a
+        cost = (values[:a, None, :] != values[None, a:, :]).sum(axis=2).astype(float)
+        least = (transport(amount[:a], amount[a:], cost) * cost).sum()
+        left, right, n = shared_flow(values, is_left, amount)
+        assert (np.bincount(left, n, a + b) <= amount * is_left).all() and (np.bincount(right, n, a + b) <= amount * ~is_left).all()
+        # what doesn't flow agrees only in what all rows do
+        rest = min(amount[:a].sum(), amount[a:].sum()) - n.sum()
+        assert (n * cost[left, right - a]).sum() + rest * (values != values[0]).any(axis=0).sum() == least
+
+
 def test_small_components_of_a_hot_key_are_exact(spark):
     # 200 components of a few classes each, and more of one side than of the other
     left = [("hot", "same", f"b{i % 200}", f"c{i % 200}" if i % 3 else f"l{i}") for i in range(500)]
