@@ -66,14 +66,14 @@ def shared_flow(values: np.ndarray, is_left: np.ndarray, amount: np.ndarray) ->
         order = np.argsort(tails, kind="stable")
         first = np.searchsorted(tails[order], np.arange(len(potential) + 1))
         to, arc, forth = heads[order], np.r_[tight, tight][order], order < len(tight)
-        lists = (first.tolist(), to.tolist(), arc.tolist(), forth.tolist())
         ending = np.zeros(len(potential), dtype=bool)
         while True:
             ending[:n] = ~is_left & (rest > 0) & (potential[:n] == end)
             level, reached = _levels(np.flatnonzero(is_left & (rest > 0)), ending, first, to, arc, forth, flow)
             if not reached:
                 break
-            flow, rest = _blocking(np.flatnonzero(is_left & (rest > 0)).tolist(), ending.tolist(), level.tolist(), *lists, flow.tolist(), rest.tolist())
+            # views give Python's integers and take no more memory
+            _blocking(*map(memoryview, (np.flatnonzero(is_left & (rest > 0)), ending, level, first[:-1].copy(), first, to, arc, forth, flow, rest)))
         potential[level < 0] += 1
         end += 1
     return _pairs(member, out, pattern, flow, n)
@@ -95,9 +95,9 @@ def _levels(starts, ending, first, to, arc, forth, flow) -> tuple[np.ndarray, bo
     return level, False
 
 
-def _blocking(starts, ending, level, first, to, arc, forth, flow, rest) -> tuple[np.ndarray, np.ndarray]:
-    """Flow along ways that get one level farther with each arc, until every such way is blocked."""
-    look = first[:-1]
+def _blocking(starts, ending, level, look, first, to, arc, forth, flow, rest) -> None:
+    """Adds flow along ways that get one level farther with each arc, until every such way is blocked; ``look`` says from which
+    arc of a node on."""
     for start in starts:
         while rest[start]:
             way, u = [], start
@@ -122,7 +122,6 @@ def _blocking(starts, ending, level, first, to, arc, forth, flow, rest) -> tuple
                 flow[arc[p]] += most if forth[p] else -most
             rest[start] -= most
             rest[u] -= most
-    return np.array(flow, dtype=np.int64), np.array(rest, dtype=np.int64)
 
 
 def _pairs(member, out, pattern, flow, n) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
