@@ -15,7 +15,7 @@ Leftovers of a key are gathered only if they are at most ``exact_rows``; these a
 
 A component of up to ``exact_classes`` classes is solved over a table of all pairs of its classes, a larger one over the values
 that they share (:mod:`driftwise.operators.shared_flow`), in stages by what a pair gains; ``pairing`` says which way a row took.
-The cost is least either way, whatever the limits are; which of equally cheap pairings is taken isn't told by them.
+The cost is least either way, whatever the limits are; which of equally cheap pairings is taken may differ with them.
 """
 
 from __future__ import annotations
